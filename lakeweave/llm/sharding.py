@@ -98,7 +98,7 @@ def even_out(rows: DataFrame, n_shards: int, buckets: int, seed: int) -> DataFra
     return rows.join(F.broadcast(table), ["shard", "bucket"], "left").withColumn("shard", F.coalesce("to", "shard")).drop("bucket", "to")
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, rounds: int = 4, slack: float = 0.1, heavy_share: int = 1024, buckets: int = 1024, seed: int = 11) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, rounds: int = 4, slack: float = 0.1, heavy_share: int = 128, buckets: int = 1024, seed: int = 11) -> DataFrame:
     """Returns id, size, text_crc32, shard, slot, linked: one row per row of ``docs``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
