@@ -5,8 +5,8 @@ two-state chain (content, boilerplate) scores a labelling by per-line weights an
 by transitions; Viterbi finds the best one, and a document stays if content lines
 hold at least ``min_content`` of its word bytes. Weights maximise the conditional
 likelihood (forward-backward, gradient ascent) of line labels that a bounded sample
-of labelled documents gives: all lines of a good document are content, all lines of
-a bad one boilerplate. The sample has ``sample_docs`` documents a class; of each,
+of labelled documents gives: all lines of a good document are content, the lines of
+a bad one boilerplate but for those that look like good ones. The sample has ``sample_docs`` documents a class; of each,
 training reads ``train_lines`` lines. Without labels of both classes the seed lines
 :data:`SEED` are learnt.
 
@@ -121,21 +121,38 @@ def viterbi(x: np.ndarray, emit: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def train(samples: list[tuple[int, np.ndarray]], steps: int = 120, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights from (label, features) pairs, one per document."""
-    samples = [(y, x) for y, x in samples if len(x)]
+def line_labels(samples: list[tuple[int, np.ndarray]], steps: int = 300, rate: float = 2.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(labels, features) of each document's lines, from (class, features) of documents.
+
+    A bad document also has ordinary lines. A logistic regression of lines on their
+    documents' classes, both classes weighing the same, finds those that look like
+    the lines of good documents; they are content. Bad documents without any other
+    line teach nothing and are left out.
+    """
+    x = np.concatenate([rows for _, rows in samples])
+    y = np.concatenate([np.full(len(rows), c, float) for c, rows in samples])
+    weight = np.where(y == BOILERPLATE, 0.5 / max(1, (y == BOILERPLATE).sum()), 0.5 / max(1, (y == CONTENT).sum()))
+    w = np.zeros(len(FEATURES))
+    for _ in range(steps):
+        w -= rate * (x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)))
+    out = []
+    for c, rows in samples:
+        labels = np.where((c == BOILERPLATE) & (rows @ w > 0), BOILERPLATE, CONTENT)
+        if c == CONTENT or labels.any():
+            out.append((labels, rows))
+    return out
+
+
+def train(samples: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights from (labels, features) of documents' lines."""
     longest, k = max(len(x) for _, x in samples), len(FEATURES)
-    x, live, y = np.zeros((len(samples), longest, k)), np.zeros((len(samples), longest), bool), np.array([y for y, _ in samples])
-    for j, (_, rows) in enumerate(samples):
-        x[j, : len(rows)], live[j, : len(rows)] = rows, True
-    # a class weighs as much as the other, a document as the root of its lines
-    each = np.array([1 / np.sqrt(len(rows)) for _, rows in samples])
-    for c in (0, 1):
-        each[y == c] /= max(each[y == c].sum(), 1e-9)
+    x, live, y = np.zeros((len(samples), longest, k)), np.zeros((len(samples), longest), bool), np.zeros((len(samples), longest), int)
+    for j, (labels, rows) in enumerate(samples):
+        x[j, : len(rows)], live[j, : len(rows)], y[j, : len(rows)] = rows, True, labels
+    each = np.array([1 / np.sqrt(len(rows)) for _, rows in samples])  # a document weighs as the root of its lines
     emit, step = np.zeros((2, k)), np.zeros((2, 2))
-    gold_emit = np.stack([np.einsum("nlk,nl,n->k", x, live, each * (y == c)) for c in (0, 1)])
-    pairs = live[:, 1:].sum(1)
-    gold_step = np.diag([(pairs * each * (y == c)).sum() for c in (0, 1)])
+    gold_emit = np.stack([np.einsum("nlk,nl,n->k", x, live & (y == c), each) for c in (0, 1)])
+    gold_step = np.array([[((live[:, 1:] & (y[:, :-1] == c) & (y[:, 1:] == d)).sum(1) * each).sum() for d in (0, 1)] for c in (0, 1)])
     mass = (each * live.sum(1)).sum()
     for _ in range(steps):
         e = np.einsum("nlk,ck->nlc", x, emit)
@@ -166,9 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")).select("good", text_col).filter(F.col(text_col).isNotNull()).limit(4 * sample_docs).collect()
     memo = _Memo()
     samples = [(CONTENT if good else BOILERPLATE, np.array(read_document(text, memo)[1][:train_lines]).reshape(-1, len(FEATURES))) for good, text in sorted(map(tuple, rows))]
-    if {y for y, x in samples if len(x)} != {0, 1}:
+    samples = [(y, x) for y, x in samples if len(x)]
+    if {y for y, _ in samples} != {CONTENT, BOILERPLATE}:
         samples = [(y, np.array(read_document("\n".join(lines), memo)[1])) for y, lines in SEED]
-    return train(samples)
+    return train(line_labels(samples))
 
 
 def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: float = 0.5, min_content: float = 0.5) -> DataFrame:
