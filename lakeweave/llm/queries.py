@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, mixing, quality, sharding, url_filter
+from . import chat, exact_dedup, language_id, mixing, quality, sentencepiece_codec, sharding, url_filter
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select(F.col("id").alias("doc_id"), language_id.held_out("id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sentencepiece_codec.encode(docs, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge(pages).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
@@ -77,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filter": op4_url_filter,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
