@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, mixing, ngram_join, quality, sentencepiece_codec, sharding, url_filter
+from . import chat, exact_dedup, language_id, mixing, ngram_join, quality, sentencepiece_codec, sharding, url_filter, warc
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    stored = warc.archive(pages, min_bytes=0)
+    return warc.read_all(stored).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: Both texts of the conversation that the contract adds.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filter": op4_url_filter,
+    "op5_warc": op5_warc,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_label_shards": op8_label_shards,
