@@ -72,7 +72,7 @@ def train(spark: SparkSession, labelled=None, n: int = 3, dims: int = 512, steps
     sides = entries.groupBy("bucket", "k").agg(F.sum("v").alias("v")).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("column"))
     columns = spark.range(dims).select(F.col("id").cast("int").alias("bucket")).join(sides, "bucket", "left").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "column"))), lambda x: F.coalesce(x["column"], F.array().cast("array<struct<k:int,v:double>>"))).alias("columns"))
     rows_ = examples.agg(F.sort_array(F.collect_list(F.struct("k", "label", "b"))).alias("rows"))
-    one = columns.withColumn("_one", F.lit(1)).join(rows_.withColumn("_one", F.lit(1)), "_one")
+    one = columns.unionByName(rows_, allowMissingColumns=True).agg(F.first("columns", True).alias("columns"), F.first("rows", True).alias("rows"))
     state = F.struct(F.array_repeat(F.lit(0.0), dims).alias("w"), F.lit(0.0).alias("bias"), F.array_repeat(F.lit(0.0), count).alias("error"))
 
     def errors(acc):
