@@ -8,9 +8,10 @@ another character, no merge can cross a word's start: then the distinct words of
 batch are encoded and decoded, and texts are put together from them; else texts are
 coded unsplit.
 
-Batches are encoded multithreaded (``threads`` a task). Parity is verified on every
-text against the sentencepiece library; a text whose ids differ gets that library's
-ids and ``parity`` false.
+Batches are encoded multithreaded (``threads`` a task). Parity is verified against
+the sentencepiece library on all that is encoded, each distinct word of a text or the
+unsplit text: merges that can't cross a word's start give a text the ids of its words
+in either library. Where ids differ, that library's are taken and ``parity`` is false.
 
 The file's bytes are broadcast: their size is that of the model, whatever the input.
 
@@ -27,6 +28,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -44,7 +46,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded in one call.
 CALL_BYTES = 4 << 20
 #: Distinct words a worker remembers at most, before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -171,7 +173,9 @@ class Codec:
         if splits_at_words(self.spec):
             self.words = Tokenizer(self.fast.model)  # words come normalised
             self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-            self.known: dict[str, tuple[list[int], str]] = {}
+            self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+            self.odd: dict[str, str] = {}  # decoded text, where it isn't the word
+            self.differ: set[str] = set()  # words on which the libraries don't agree
 
     def normalize(self, text: str) -> str:
         spec = self.spec
@@ -179,33 +183,45 @@ class Codec:
             return self.fast.normalizer.normalize_str(text)
         return (MARK if spec.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def code(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids of each text, and the texts decoded from them, by the tokenizers library."""
-        if self.words is None:
-            ids = [x.ids if t else [] for x, t in zip(self.fast.encode_batch_fast(texts, add_special_tokens=False), texts)]
-            return ids, self.decode(ids)
+    def plain_words(self, words: list[str]) -> list[list[int]]:
+        """What the sentencepiece library makes of normalised words."""
+        cut = 1 if self.spec.dummy_prefix else 0
+        return self.plain.encode([w[cut:].replace(MARK, " ") for w in words], num_threads=self.threads)
+
+    def learn(self, words: list[str]) -> None:
+        coded = [x.ids for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        for k, (word, ours, theirs) in enumerate(zip(words, coded, self.plain_words(words))):
+            if ours != theirs and len(word) > 1:  # a lone marker is no text to that library
+                self.differ.add(word)
+                coded[k] = theirs
+        back = self.words.decode_batch(coded, skip_special_tokens=False)
+        self.odd.update((w, t) for w, t in zip(words, back) if t != w.replace(MARK, " "))
+        self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(words, coded))
+
+    def encode_words(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
         split = [_WORD.findall(self.normalize(t)) if t else [] for t in texts]
         if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        coded = [x.ids for x in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, zip(coded, self.words.decode_batch(coded, skip_special_tokens=False))))
-        ids, back = [], []
+            self.known, self.odd, self.differ = {}, {}, set()
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if new:
+            self.learn(list(new))
+        get = self.known.__getitem__
+        ids, same, back = [], [], []
         for words in split:
-            pairs = [self.known[w] for w in words]
-            ids.append(list(chain.from_iterable([p[0] for p in pairs])))
-            text = "".join([p[1] for p in pairs])
+            ids.append(np.frombuffer(b"".join(map(get, words)), np.int32))
+            same.append(not self.differ or self.differ.isdisjoint(words))
+            text = "".join(words).replace(MARK, " ") if not self.odd or self.odd.keys().isdisjoint(words) else "".join(self.odd.get(w, w.replace(MARK, " ")) for w in words)
             back.append(text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text)
-        return ids, back
+        return ids, same, back
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[str]]:
-        """Ids of each text, whether both libraries agree on them, and the decoded texts."""
-        ids, back = self.code(texts)
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        """Ids of each text, whether both libraries agree on them, and the texts decoded from them."""
+        if self.words is not None:
+            return self.encode_words(texts)
+        ids = [x.ids if t else [] for x, t in zip(self.fast.encode_batch_fast(texts, add_special_tokens=False), texts)]
         plain = self.plain.encode(texts, num_threads=self.threads)
         same = [a == b for a, b in zip(ids, plain)]
-        for k in (k for k, ok in enumerate(same) if not ok):
-            ids[k], back[k] = plain[k], self.decode([plain[k]])[0]
-        return ids, same, back
+        return [np.array(x, np.int32) for x in plain], same, self.decode(plain)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.fast.decode_batch(ids, skip_special_tokens=False)
@@ -253,13 +269,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             at = 0
             for texts in calls(batch.column(1).to_pylist()):
                 ids, same, back = own.encode(texts)
-                arrays = [np.array(x, np.int32) for x in ids]
+                offsets = np.cumsum([0] + [len(x) for x in ids])
                 columns = {
                     "id": batch.column(0).slice(at, len(texts)),
-                    "ids": pa.array(arrays, pa.list_(pa.int32())) if with_ids else None,
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids))) if with_ids else None,
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "n_byte_tokens": pa.array([int(own.bytes[x].sum()) for x in arrays], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]),
+                    "n_byte_tokens": pa.array([int(own.bytes[x].sum()) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
                     "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in back]),
                     "round_trip": pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)], pa.bool_()),
                     "parity": pa.array(same, pa.bool_()),
