@@ -10,7 +10,8 @@ def parse_instant(text: Column) -> Column:
     """A timeline instant (yyyyMMddHHmmss[SSS...]) as a timestamp; seconds alone mean their last millisecond."""
     cut = F.substr(text, F.lit(1), F.lit(17))
     full = F.when(F.length(cut) == 14, F.concat(cut, F.lit("999"))).otherwise(F.rpad(cut, 17, "0"))
-    return F.try_to_timestamp(full, F.lit("yyyyMMddHHmmssSSS"))
+    spaced = F.regexp_replace(full, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)(\d{3})$", "$1-$2-$3 $4:$5:$6.$7")
+    return F.when(spaced != full, spaced.try_cast("timestamp"))
 
 
 def format_instant(time: Column) -> Column:

@@ -464,6 +464,12 @@ def catalog_columns(schema: T.StructType, before: list[dict] | None = None) -> l
     return list(out.values())
 
 
+def catalog_columns_merge(columns: list[dict], before: list[dict]) -> list[dict]:
+    """``columns``, and those that only ``before`` had, marked as not current."""
+    names = {c["name"] for c in columns}
+    return columns + [c | {"current": False} for c in before if c["name"] not in names]
+
+
 def schema_properties(schema: T.StructType, partition_names: list[str]) -> dict[str, str]:
     """Table properties that carry a Spark schema: partition columns last, JSON in parts."""
     ordered = [f for f in schema.fields if f.name not in partition_names] + [f for n in partition_names for f in schema.fields if f.name == n]
