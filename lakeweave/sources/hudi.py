@@ -255,7 +255,7 @@ class HudiTarget:
 
     def _init(self, table: Table) -> None:
         """Creates the table; later, keys and partitions must be what they were."""
-        spec = ",".join(f"{f.path}:{f.transform}" + (f":{f.format}" if f.format else "") for f in table.partitions)
+        spec = ",".join(f"{f.path}:{f.transform}" for f in table.partitions)
         if self.line.exists():
             props = self.line.properties()
             if props.get("hoodie.table.recordkey.fields", "") != ",".join(table.record_keys):
@@ -272,11 +272,9 @@ class HudiTarget:
         self.line.store.write(f"{HOODIE}/hoodie.properties", "".join(f"{k}={v}\n" for k, v in props.items()))
 
     def _partition(self, table: Table):
-        """A file's partition path: its folders if it lies below the table, else written from its values."""
+        """A file's partition, written from its values: its folders may be laid out by another format."""
         values = {f.path: millis_string(F.col("part")[f.path].cast("long"), f.transform) if f.transform in TIME else F.col("part")[f.path] for f in table.partitions}
-        inside = F.startswith(P.without_scheme(F.col("path")), P.without_scheme(F.lit(self.base + "/")))
-        own = P.partition_path(F.col("path"), P.canonical(F.lit(self.base)))
-        return (F.when(inside, own).otherwise(hive_path(values)) if values else F.lit("")).alias("partition")
+        return (hive_path(values) if values else F.lit("")).alias("partition")
 
     def commit(self, table: Table, state: SyncState, added: DataFrame, removed: DataFrame, mode: str) -> str:
         self._init(table)
@@ -327,7 +325,7 @@ class HudiTarget:
             files.unpersist()
 
     def sync_change(self, table: Table, state: SyncState, added: DataFrame, removed: DataFrame) -> str:
-        gone = removed.withColumn("partition", self._partition(table)).withColumn("file_id", P.hudi_file_id(F.col("path")))
+        gone = live_files(self.line.events()).join(removed.select("path").distinct(), "path", "left_semi")  # removals needn't name their partition
         return self.commit(table, state, added, gone, "INCREMENTAL")
 
     def target_version_of(self, source_id: str) -> str | None:
