@@ -73,6 +73,14 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: flo
     return weighed.withColumn("target", F.least(F.col("weight") * level, cap) if total else F.lit(0.0))
 
 
+def draws(u: np.ndarray, tag: int) -> np.ndarray:
+    """Uniform numbers of the rows at one level of the tree, mixed from their own and the level."""
+    x = (u * float(1 << 52)).astype(np.uint64) + np.uint64((tag + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return (x ^ (x >> np.uint64(31))).astype(np.float64) / float(1 << 64)
+
+
 def meet(rows: pd.DataFrame, root: bool, tag: int) -> pd.DataFrame:
     """Lets the fractions of one block meet in turn, larger documents first; at most one stays fractional.
 
@@ -82,7 +90,7 @@ def meet(rows: pd.DataFrame, root: bool, tag: int) -> pd.DataFrame:
     both expectations; the sum of s * p stays as it is in both.
     """
     rows = rows.sort_values(["size", "u"], ascending=[False, True], kind="stable", ignore_index=True)
-    p, size, luck = rows["p"].to_numpy(copy=True), rows["size"].to_numpy(dtype=float), (rows["u"].to_numpy() * (1 + 0.6180339887498949 * (tag + 1))) % 1.0
+    p, size, luck = rows["p"].to_numpy(copy=True), rows["size"].to_numpy(dtype=float), draws(rows["u"].to_numpy(), tag)
     open_, i = (p > 0) & (p < 1), -1
     for j in np.flatnonzero(open_):
         if i < 0:
