@@ -36,12 +36,14 @@ def make_docs(spark, seed=1, n=60):
         lang = r.choice(["en", "fr"])
         words = [r.choice(VOCABULARY[lang]) + (str(r.randrange(50)) if r.random() < 0.4 else "") for _ in range(r.choice([3, 20, 60, 120]))]
         if texts and r.random() < 0.4:  # a near copy
-            words = r.choice(texts).split()
+            lang, copied = r.choice(texts)
+            words = copied.split()
             for _ in range(r.randrange(4)):
                 words[r.randrange(len(words))] = "changed" + str(r.randrange(1000))
         text = " ".join(words)
-        texts.append(text)
+        texts.append((lang, text))
         rows.append((k, text, lang, r.choice(["a", "b", "é", "Z", None])))
+    texts = [t for _, t in texts]
     rows += [(n, None, "en", "a"), (n + 1, "", "fr", None), (n + 2, " \t\n", None, "b"), (n + 3, texts[0], "en", "a"), (n + 4, texts[0].replace(" ", " \n "), "en", "b"), (n + 4, texts[0].replace(" ", " \n "), "en", "b")]
     rows += [(n + 5, "One two three", "en", "a"), (n + 6, "ONE TWO THREE", "en", "a"), (None, texts[1], "en", "b"), (n + 7, " ".join(f"w{k}" for k in range(20_000)), "en", "a"), (n + 8, "12345 !!!", "en", "Z")]
     return spark.createDataFrame([(i, t, lang, s, None, "x", 1, 2, 3, "y") for i, t, lang, s in rows], SCHEMA), rows
