@@ -39,6 +39,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_all(stored).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+           ((strpos('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h || '0', 5 * i // 4 + 2, 1)) - 1) // [8, 4, 2, 1][1 + 5 * i % 4]) % 32 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to
+FROM p
+"""
+
 #: Both texts of the conversation that the contract adds.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -59,6 +69,19 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP6_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e AS (SELECT *, regexp_replace(text, '([\[<])(\\*)(/?INST\]|/?SYS\]|/?ROLE\]|:\]|/?s>)', '\1\\\2\3', 'g') AS body,
+                  regexp_replace(role, '([\[<])(\\*)(/?INST\]|/?SYS\]|/?ROLE\]|:\]|/?s>)', '\1\\\2\3', 'g') AS name FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(body) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 7 ELSE 16 + length(name) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup.exact_dedup(docs).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -84,6 +107,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(docs, shingle=5, percent=75).withColumnRenamed("id", "doc_id")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.doc_id WHERE r.seen < e.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(seen) FROM r WHERE r.doc_id = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -103,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_ngram_join": OP9_SQL}

@@ -34,7 +34,8 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     theirs = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in theirs.description]
     assert sorted(map(str, theirs.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in QUERIES[name](spark, SF).collect())
