@@ -349,3 +349,39 @@ def test_catalogs(spark):
     assert C.sync_partitions(spark, catalog, name, storage.filter("key <> '7'").withColumn("path", F.when(F.col("key") == "8", "/x").otherwise(F.col("path")))) == {"DROP": 1, "UPDATE": 1}
     assert C.sync_catalogs({"good": catalog, "bad": None}, name, t, "HUDI")["bad"].startswith("ERROR")
     assert C.data_path("ICEBERG", "/t", {}) == "/t/data" and C.table_format({"spark.sql.sources.provider": "delta"}) == "DELTA"
+
+
+def test_hooks(spark, tmp_path):
+    from lakeweave.plans import hooks
+
+    options = {"hoodie.datasource.write.partitionpath.field": "a:SIMPLE,t:TIMESTAMP", "hoodie.keygen.timebased.output.dateformat": "yyyy/MM"}
+    assert hooks.spec_from_write_config(options) == "a:VALUE,t:MONTH:yyyy/MM" and hooks.spec_from_write_config({}) == ""
+    base = f"file:{tmp_path}/t"
+    LakeTable(spark, base).append(sample(spark, 0, 10))
+    catalog = C.MemoryCatalog()
+    out = hooks.sync_across_catalogs(spark, SyncConfig("DELTA", base, ["HUDI"]), {"HUDI": {"mem": catalog}, "DELTA": {"mem": catalog}}, "db.t")
+    assert out["HUDI"].catalogs == {"mem": "created"} and out["DELTA"].catalogs == {"mem": "refreshed"}
+    assert hooks.validate(spark, "DELTA", base, ["HUDI"]) == {"HUDI": {"missing": 0, "extra": 0, "rows_agree": True}}
+    again = hooks.after_commit(spark, base, ["ICEBERG"], {})
+    assert again["ICEBERG"].status == "SUCCESS" and same(reader.read(spark, "ICEBERG", base), sample(spark, 0, 10))
+
+
+def test_cli_and_service(spark, tmp_path):
+    from lakeweave.plans import cli, service
+    from lakeweave.sources.model import ConfigError
+    from lakeweave.streaming import continuous
+
+    base = f"file:{tmp_path}/t"
+    LakeTable(spark, base).append(sample(spark, 0, 10))
+    config = tmp_path / "c.yaml"
+    config.write_text(f"sourceFormat: DELTA\ntargetFormats: [ICEBERG]\ndatasets:\n  - tableBasePath: {base}\n    tableName: t\n  - tableBasePath: file:{tmp_path}/none\n    tableName: n\n")
+    seen = []
+    continuous.run(spark, lambda: cli.load(str(config)), 0.1, 2, lambda b, r: seen.append((b, [x.status for x in r.values()])))
+    assert [s for b, s in seen if b == base] == [["SUCCESS"]] * 2 and ["ERROR"] in [s for b, s in seen if b != base]
+    (tmp_path / "bad.yaml").write_text("sourceFormat: DELTA\n")
+    with pytest.raises(ConfigError):
+        cli.load(str(tmp_path / "bad.yaml"))
+    answer = service.convert(spark, {"sourceFormat": "DELTA", "sourceTablePath": base, "targetFormats": ["ICEBERG"]})
+    assert [f["name"] for f in json.loads(answer["convertedTables"][0]["targetSchema"])["fields"]] == ["id", "name", "level", "x"]
+    stream = continuous.CommitStream(spark, "DELTA", base)
+    assert len(stream.poll()) == 1 and stream.poll() == []
