@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -69,3 +71,12 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limi
 def unit_hash(*cols: Column | str) -> Column:
     """A reproducible uniform number in [0, 1) from the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on and serve other stages."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, unit_hash
+from .common import join_checked, release, unit_hash
 
 UND = "und"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -177,6 +177,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 part = batch.slice(lo, 512)
                 names, scores, rates = judge(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], names=["id", "lang_pred", "score", "bits_per_byte"])
+        release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {id_type}, lang_pred string, score double, bits_per_byte double")
@@ -199,5 +200,6 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             for lo in range(0, batch.num_rows, 512):
                 keep += [x != UND for x in judge(shared.value, texts.slice(lo, 512).to_pylist())[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

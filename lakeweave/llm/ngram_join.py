@@ -45,11 +45,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, release, shuffle_partitions
 from .components import components
 
 #: Matrix entries a task packs at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 ENTRIES, DOCUMENT = 0, 1
 
@@ -58,7 +58,7 @@ class _Memo(dict):
     """64-bit hashes of words; starts anew when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -173,6 +173,9 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, size: int, parts: int
             yield out.batch(part=[(k or j) % parts for j, k in enumerate(row)], kind=[DOCUMENT] * len(row), id=batch.column(0), row=row, n=n)
         if sets:
             yield from flush()
+        memo.clear()
+        keys, sets = [], []
+        release()
 
     schema = f"part int, kind byte, rows binary, counts binary, hashes binary, extra binary, id {id_type}, row long, n long"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
@@ -211,6 +214,7 @@ def shared_entries(blocks: DataFrame, parts: int) -> DataFrame:
             yield batch.filter(mine)
         for part in list(held):
             yield from block(held.pop(part), out)
+        release()
 
     return blocks.mapInArrow(run, blocks.schema)
 
@@ -245,6 +249,8 @@ def candidates(entries: DataFrame, parts: int, percent: int) -> DataFrame:
                 found = []
         if found:
             yield _survivors(found)
+        del row, h, count, order, found, pieces, extra
+        release()
 
     return entries.select("part", "rows", "counts", "hashes", "extra", "row", "n").mapInArrow(run, "row long, n long, prefix int, weight double, entries array<long>")
 

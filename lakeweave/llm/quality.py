@@ -58,7 +58,7 @@ class _Memo(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
