@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
-from lakeweave.llm.common import join_checked, materialize
+from lakeweave.llm.common import join_dealt, materialize
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.ngram_join(docs, shingle=5, percent=75)
     stay = materialize(groups.filter("id <=> component_id").select(F.col("id").alias("_lw_id")), "stay")
-    return join_checked(docs, stay, docs["doc_id"].eqNullSafe(F.col("_lw_id")), "left_semi")
+    return join_dealt(docs, stay, docs["doc_id"].eqNullSafe(F.col("_lw_id")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, materialize, power_of, shuffle_partitions
+from .common import SPACE_RUN, join_dealt, materialize, power_of, shuffle_partitions
 
 KEY = ["digest", "n_bytes", "check_hash"]
 
@@ -81,7 +81,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = materialize(exact_dedup(docs, id_col, text_col, fan_in), "verdict")
     mark = "_lw_stay"
     stay = verdict.filter("kept").select(F.col("id").alias(mark))
-    kept = docs.join(stay, docs[id_col].eqNullSafe(F.col(mark)), "left_semi")
+    kept = join_dealt(docs, stay, docs[id_col].eqNullSafe(F.col(mark)), "left_semi")
     same_id = verdict.filter("kept").groupBy("id").count().filter("count > 1").limit(1).count()
     other = verdict.join(verdict.filter("kept").select("id").distinct(), "id", "left_semi").filter("NOT kept").limit(1).count()
     if same_id or other or verdict.filter("kept AND id IS NULL").limit(1).count():

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_checked, materialize, shuffle_partitions, unit_hash
+from .common import WORD, join_checked, join_dealt, materialize, shuffle_partitions, unit_hash
 
 ROW = "rank long, block long, id {id_type}, size long, source_size long, target double, whole double, p double, u double"
 
@@ -170,7 +170,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """
     taken = mix(docs, id_col, **options).filter("copies > 0").groupBy(F.col("id").alias("_lw_id")).agg(F.sum("copies").alias("_lw_n"), F.count(F.lit(1)).alias("_lw_rows"))
     taken = materialize(taken, "taken")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("_lw_id")))
+    joined = join_dealt(docs, taken, docs[id_col].eqNullSafe(F.col("_lw_id")))
     if taken.filter("_lw_rows > 1").limit(1).count():
         w = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
         joined = joined.withColumn("_lw_k", F.row_number().over(w)).withColumn("_lw_all", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
