@@ -170,7 +170,7 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, size: int, parts: int
                     if held >= FLUSH:
                         yield from flush()
                         keys, sets, held = [], [], 0
-            yield out.batch(part=[(k or j) % parts for j, k in enumerate(row)], kind=[DOCUMENT] * len(row), id=batch.column(0), row=row, n=n)
+            yield out.batch(part=[j % parts for j in range(len(row))], kind=[DOCUMENT] * len(row), id=batch.column(0), row=row, n=n)
         if sets:
             yield from flush()
         memo.clear()
