@@ -38,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: The public vocabulary file of this environment; a parameter everywhere.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded in one call.
-CALL_BYTES = 4 << 20
-#: Distinct words a worker remembers at most, before it starts anew.
-MEMO_WORDS = 600_000
+CALL_BYTES = 1 << 20
+#: Distinct words a task remembers, some 60 MB, before it starts anew.
+MEMO_WORDS = 250_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -177,6 +179,9 @@ class Codec:
             self.odd: dict[str, str] = {}  # decoded text, where it isn't the word
             self.differ: set[str] = set()  # words on which the libraries don't agree
 
+    def forget(self) -> None:
+        self.known, self.odd, self.differ = {}, {}, set()
+
     def normalize(self, text: str) -> str:
         spec = self.spec
         if spec.charsmap or spec.remove_extra:
@@ -201,7 +206,7 @@ class Codec:
     def encode_words(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
         split = [_WORD.findall(self.normalize(t)) if t else [] for t in texts]
         if len(self.known) > MEMO_WORDS:
-            self.known, self.odd, self.differ = {}, {}, set()
+            self.forget()
         new = set(chain.from_iterable(split)).difference(self.known)
         if new:
             self.learn(list(new))
@@ -265,7 +270,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, threads)
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             at = 0
             for texts in calls(batch.column(1).to_pylist()):
                 ids, same, back = own.encode(texts)
@@ -283,6 +288,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 columns = {k: v for k, v in columns.items() if v is not None}
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        own.forget()
+        release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, " + (SCHEMA if with_ids else SCHEMA.removeprefix("ids array<int>, "))
