@@ -3,11 +3,12 @@
 Documents with equal texts are linked; a link whose ends lie in different shards
 is cut. Every document starts in a shard by a hash of its identifier. In each
 round linked documents see how many bytes of their group each shard holds and
-move towards the shard that holds most, but a shard admits at most its quota (its
-room and what others take out of it): a hash of the mover admits the share of the
-demand that the quota covers, so
+move towards the shard that holds most, of those with room if there is one. A
+shard admits at most its quota (its room and what others take out of it): a hash of
+the mover admits the share of the demand that the quota covers, so
 a quota needs sums per (from, to) pair of shards and no sort. Loads pass through
-the driver: ``n_shards ** 2`` numbers, whatever the input.
+the driver: ``n_shards ** 2`` numbers, whatever the input. After the last round,
+units that were refused every time move without a quota, so no unit stays cut.
 
 Once groups are together, whole units move from over-full shards to the others:
 units are dealt to ``buckets`` hash buckets, and bucket sums (a fixed number of
@@ -45,12 +46,13 @@ def _loads(rows: DataFrame, n_shards: int) -> list[int]:
 
 
 def propagate(rows: DataFrame, n_shards: int, rounds: int, slack: float, seed: int) -> DataFrame:
-    """Moves linked rows towards their unit's largest shard, within quotas."""
-    for k in range(rounds):
+    """Moves linked rows to one shard of their unit: within quotas for ``rounds`` rounds, then all that are left."""
+    for k in range(rounds + 1):
         loads = _loads(rows, n_shards)
         capacity = sum(loads) / n_shards * (1 + slack)
+        room = F.element_at(F.array(*[F.lit(x < capacity) for x in loads]), F.col("shard") + 1)
         held = rows.filter("linked").groupBy(*UNIT, "shard").agg(F.sum("size").alias("b"))
-        wanted = held.groupBy(*UNIT).agg(F.max_by("shard", F.struct("b", F.xxhash64("group", "shard"))).alias("wish"))
+        wanted = held.groupBy(*UNIT).agg(F.max_by("shard", F.struct(room, "b", F.xxhash64("group", "shard"))).alias("wish"))
         seen = materialize(rows.filter("linked").join(wanted, UNIT), "wishes")
         flows = seen.filter("wish != shard").groupBy("shard", "wish").agg(F.sum("size").alias("b")).collect()  # n_shards ** 2 rows at most
         if not flows:
@@ -60,7 +62,7 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int, slack: float, seed: i
             demand[r["wish"]] += r["b"]
             leaving[r["shard"]] += r["b"]
         quota = [max(0.0, capacity - loads[s] + leaving[s]) for s in range(n_shards)]
-        share = [min(1.0, quota[s] / demand[s]) if demand[s] else 0.0 for s in range(n_shards)]
+        share = [1.0 if k == rounds else min(1.0, quota[s] / demand[s]) if demand[s] else 0.0 for s in range(n_shards)]
         admit = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("wish") + 1)
         moved = F.when(unit_hash("group", "chunk", F.lit(seed + k)) < admit, F.col("wish")).otherwise(F.col("shard"))
         rows = materialize(rows.filter("NOT linked").unionByName(seen.withColumn("shard", moved).drop("wish")), "round")

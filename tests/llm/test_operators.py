@@ -160,6 +160,18 @@ def test_sharding_splits_a_hot_group(spark):
     assert max(loads.values()) <= 1.02 * min(loads.values())
 
 
+@pytest.mark.parametrize("others", [1, 0])
+def test_sharding_cuts_no_unit_of_a_hot_group(spark, others):
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 < others, F.concat(F.lit("text "), F.col("id"))).otherwise("the same text everywhere").alias("text"))
+    rows = sharding.shard(docs, n_shards=16).join(docs, F.col("id") == F.col("doc_id")).withColumn("group", F.unhex(F.sha2("text", 256)))
+    unit = rows.agg(F.sum("size")).first()[0] // 128
+    chunks = -(-rows.filter("text LIKE 'the%'").agg(F.sum("size")).first()[0] // unit)
+    units = rows.filter("text LIKE 'the%'").groupBy(F.pmod(F.xxhash64("id", "group"), F.lit(chunks)).alias("chunk")).agg(F.countDistinct("shard").alias("shards"))
+    assert units.count() > 50 and units.filter("shards > 1").count() == 0
+    loads = [r["b"] for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 16 and max(loads) <= 1.1 * sum(loads) / 16
+
+
 # language
 
 
