@@ -6,8 +6,8 @@ by transitions; Viterbi finds the best one, and a document stays if content line
 hold at least ``min_content`` of its word bytes. Weights maximise the conditional
 likelihood (forward-backward, gradient ascent) of line labels that a bounded sample
 of labelled documents gives: all lines of a good document are content, the lines of
-a bad one boilerplate but for those that look like good ones. The sample has ``sample_docs`` documents a class; of each,
-training reads ``train_lines`` lines. Without labels of both classes the seed lines
+a bad one boilerplate but for those that look like good ones. The sample has ``sample_docs`` documents a class, all
+lines of each. Without labels of both classes the seed lines
 :data:`SEED` are learnt.
 
 Before that, base rules: fewer than ``min_words`` words, or more than half of the
@@ -144,34 +144,47 @@ def line_labels(samples: list[tuple[int, np.ndarray]], steps: int = 300, rate: f
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights from (labels, features) of documents' lines."""
-    longest, k = max(len(x) for _, x in samples), len(FEATURES)
-    x, live, y = np.zeros((len(samples), longest, k)), np.zeros((len(samples), longest), bool), np.zeros((len(samples), longest), int)
-    for j, (labels, rows) in enumerate(samples):
-        x[j, : len(rows)], live[j, : len(rows)], y[j, : len(rows)] = rows, True, labels
-    each = np.array([1 / np.sqrt(len(rows)) for _, rows in samples])  # a document weighs as the root of its lines
+    """Emission and transition weights from (labels, features) of documents' lines.
+
+    Lines are laid out by their place in the document, longest documents first, so
+    that memory holds each line once, however long one document is.
+    """
+    samples = sorted(samples, key=lambda s: -len(s[1]))
+    sizes = np.array([len(rows) for _, rows in samples])
+    longest, k = sizes[0], len(FEATURES)
+    alive = np.array([(sizes > t).sum() for t in range(longest)])
+    start = np.concatenate([[0], np.cumsum(alive)])
+    at = [start[: len(rows)] + j for j, (_, rows) in enumerate(samples)]  # where the lines of a document are
+    x, y, each = np.zeros((start[-1], k)), np.zeros(start[-1], int), np.zeros(start[-1])
+    for own, (labels, rows) in zip(at, samples):
+        x[own], y[own], each[own] = rows, labels, 1 / np.sqrt(len(rows))  # a document weighs as the root of its lines
+    last, near = np.array([own[-1] for own in at]), np.arange(alive[0], start[-1])
+    far = near - np.repeat(alive[:-1], alive[1:])  # the line before each line of near
+    doc = np.arange(start[-1]) - np.repeat(start[:-1], alive)
     emit, step = np.zeros((2, k)), np.zeros((2, 2))
-    gold_emit = np.stack([np.einsum("nlk,nl,n->k", x, live & (y == c), each) for c in (0, 1)])
-    gold_step = np.array([[((live[:, 1:] & (y[:, :-1] == c) & (y[:, 1:] == d)).sum(1) * each).sum() for d in (0, 1)] for c in (0, 1)])
-    mass = (each * live.sum(1)).sum()
+    gold_emit = np.stack([(each * (y == c)) @ x for c in (0, 1)])
+    gold_step = np.array([[each[near] @ ((y[far] == c) & (y[near] == d)) for d in (0, 1)] for c in (0, 1)])
+    mass = each.sum()
     for _ in range(steps):
-        e = np.einsum("nlk,ck->nlc", x, emit)
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
+        e = x @ emit.T
+        alpha, beta = e.copy(), np.zeros_like(e)
         for t in range(1, longest):
-            alpha[:, t] = np.where(live[:, t, None], e[:, t] + np.logaddexp(alpha[:, t - 1, :1] + step[0], alpha[:, t - 1, 1:] + step[1]), alpha[:, t - 1])
+            lo, n = start[t], alive[t]
+            before = alpha[start[t - 1] : start[t - 1] + n]
+            alpha[lo : lo + n] += np.logaddexp(before[:, :1] + step[0], before[:, 1:] + step[1])
         for t in range(longest - 2, -1, -1):
-            near = e[:, t + 1] + beta[:, t + 1]
-            beta[:, t] = np.where(live[:, t + 1, None], np.logaddexp(near[:, :1] + step[:, 0], near[:, 1:] + step[:, 1]), 0.0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        node = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None] * each[:, None, None]
-        edge = np.exp(alpha[:, :-1, :, None] + step + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * live[:, 1:, None, None] * each[:, None, None, None]
-        emit += rate * ((gold_emit - np.einsum("nlk,nlc->ck", x, node)) / mass * 4 - decay * emit)
-        step += rate * ((gold_step - edge.sum((0, 1))) / mass - decay * step)
+            lo, n = start[t + 1], alive[t + 1]
+            after = e[lo : lo + n] + beta[lo : lo + n]
+            beta[start[t] : start[t] + n] = np.logaddexp(after[:, :1] + step[:, 0], after[:, 1:] + step[:, 1])
+        z = np.logaddexp(alpha[last, 0], alpha[last, 1])[doc]
+        node = np.exp(alpha + beta - z[:, None]) * each[:, None]
+        edge = np.exp(alpha[far, :, None] + step + (e + beta)[near, None, :] - z[near, None, None]) * each[near, None, None]
+        emit += rate * ((gold_emit - node.T @ x) / mass * 4 - decay * emit)
+        step += rate * ((gold_step - edge.sum(0)) / mass - decay * step)
     return emit, step
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 200, train_lines: int = 100, seed: int = 3):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 200, seed: int = 3):
     """Weights from ``sample_docs`` labelled documents a class at most, else from the seed lines."""
     first = Window.partitionBy("good").orderBy("h", "_id")
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).alias("good"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h")).distinct()
@@ -182,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = thin.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_docs).select("_id", "good")
     rows = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")).select("good", text_col).filter(F.col(text_col).isNotNull()).limit(4 * sample_docs).collect()
     memo = _Memo()
-    samples = [(CONTENT if good else BOILERPLATE, np.array(read_document(text, memo)[1][:train_lines]).reshape(-1, len(FEATURES))) for good, text in sorted(map(tuple, rows))]
+    samples = [(CONTENT if good else BOILERPLATE, np.array(read_document(text, memo)[1]).reshape(-1, len(FEATURES))) for good, text in sorted(map(tuple, rows))]
     samples = [(y, x) for y, x in samples if len(x)]
     if {y for y, _ in samples} != {CONTENT, BOILERPLATE}:
         samples = [(y, np.array(read_document("\n".join(lines), memo)[1])) for y, lines in SEED]

@@ -442,6 +442,16 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_all_lines(spark):
+    prose = lambda n, k: [f"The quiet river number {k} of {j} ran past the old mill and on to the sea." for j in range(n)]
+    junk = [f"w{k}### x$$$ y%%% z{k}&&& | Buy!! NOW!!" for k in range(40)]
+    texts = [(k, "\n".join(prose(120, k) + (junk if k % 2 else []))) for k in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    emit, step = quality.fit(docs, docs.select("doc_id", (1 - F.col("doc_id") % 2).alias("quality")))
+    rows = np.array(quality.read_document("\n".join(prose(150, 77) + junk), quality._Memo())[1])
+    assert quality.viterbi(rows, emit, step).tolist() == [quality.CONTENT] * 150 + [quality.BOILERPLATE] * 40
+
+
 def test_viterbi_is_the_best_labelling():
     r = np.random.default_rng(2)
     for _ in range(20):
