@@ -452,6 +452,16 @@ def test_quality_learns_from_all_lines(spark):
     assert quality.viterbi(rows, emit, step).tolist() == [quality.CONTENT] * 150 + [quality.BOILERPLATE] * 40
 
 
+def test_quality_learns_from_one_row_of_each_identifier(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda samples: seen.append(sorted((len(rows), bool(labels.any())) for labels, rows in samples)))
+    texts = [(0, f"The quiet river ran past mill number {j} and on to the sea.") for j in range(300)] + [(k, "\n".join([f"w{k}### x$$$ y%%% | Buy!! NOW!!"] * (k + 1))) for k in range(1, 6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    labels = docs.select("doc_id", (F.col("doc_id") == 0).cast("int").alias("quality"))
+    quality.fit(docs, labels, sample_docs=5)
+    assert seen == [[(1, False)] + [(k + 1, True) for k in range(1, 6)]]
+
+
 def test_viterbi_is_the_best_labelling():
     r = np.random.default_rng(2)
     for _ in range(20):
