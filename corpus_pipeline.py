@@ -16,11 +16,11 @@ extra columns pass through unchanged up to the last stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
-from lakeweave.llm.common import join_dealt, materialize
+from lakeweave.llm.common import WORD, join_dealt, materialize
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,18 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.ngram_join(docs, shingle=5, percent=75)
+    keyed, key = docs, "doc_id"
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # several rows have one identifier: a row is known by it and its text, the smallest identifier first and null last
+        key = "_lw_key"
+        keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")))
+    groups = ngram_join.ngram_join(keyed, key, shingle=5, percent=75)
     stay = materialize(groups.filter("id <=> component_id").select(F.col("id").alias("_lw_id")), "stay")
-    return join_dealt(docs, stay, docs["doc_id"].eqNullSafe(F.col("_lw_id")), "left_semi")
+    kept = join_dealt(keyed, stay, keyed[key].eqNullSafe(F.col("_lw_id")), "left_semi")
+    if stay.groupBy("_lw_id").count().filter("count > 1").limit(1).count():  # rows alike in both; texts without a word are no near copies
+        row = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+        kept = kept.withColumn("_lw_row", row).filter(F.col("_lw_row").eqNullSafe(1) | ~F.coalesce("text", F.lit("")).rlike(WORD))
+    return kept.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,25 @@ def test_pipeline_stages(spark):
         assert empty.count() == 0
 
 
+def test_near_copies_that_share_an_identifier(spark):
+    import corpus_pipeline as p
+
+    text = lambda name, end: " ".join(f"{name}{k}" for k in range(60)) + " " + end
+    rows = [
+        (1, text("a", "x")), (1, text("a", "y")),  # near copies under one id: one stays
+        (2, text("b", "x")), (3, text("b", "y")), (3, text("c", "x")),  # the near copy with id 3 goes, the other row of id 3 stays
+        (None, text("d", "x")), (4, text("d", "y")), (None, text("e", "x")),  # likewise with null ids
+        (None, text("f", "x")), (None, text("f", "y")),
+        (5, text("g", "x")), (5, text("g", "x")),
+        (6, None), (6, None), (None, " "), (None, ""),  # without a word nothing is a near copy
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = p.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    first = sorted((str(r["doc_id"]), (r["text"] or "")[:1].strip()) for r in got.collect())
+    assert first == sorted([("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("None", "e"), ("None", "f"), ("5", "g"), ("6", ""), ("6", ""), ("None", ""), ("None", "")])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
