@@ -126,7 +126,8 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
 
 
 def splits_at_words(spec: Spec) -> bool:
-    return spec.kind == BPE and spec.escape and not any(MARK in piece.lstrip(MARK) for piece, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED))
+    """Whether words can be coded one by one; with a normaliser that does more than mark spaces whole raw texts are compared."""
+    return spec.kind == BPE and spec.escape and not spec.charsmap and not spec.remove_extra and not any(MARK in piece.lstrip(MARK) for piece, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED))
 
 
 def build(spec: Spec):
@@ -183,10 +184,7 @@ class Codec:
         self.known, self.odd, self.differ = {}, {}, set()
 
     def normalize(self, text: str) -> str:
-        spec = self.spec
-        if spec.charsmap or spec.remove_extra:
-            return self.fast.normalizer.normalize_str(text)
-        return (MARK if spec.dummy_prefix else "") + text.replace(" ", MARK)
+        return (MARK if self.spec.dummy_prefix else "") + text.replace(" ", MARK)
 
     def plain_words(self, words: list[str]) -> list[list[int]]:
         """What the sentencepiece library makes of normalised words."""

@@ -270,6 +270,20 @@ def test_sentencepiece_parity_on_any_text(text):
 # URLs
 
 
+def test_sentencepiece_parity_sees_the_normalizer():
+    import io
+
+    import sentencepiece
+
+    model = io.BytesIO()
+    words = [" ".join(VOCABULARY["en"][k:] + VOCABULARY["en"][:k]) for k in range(30)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(words), model_writer=model, model_type="bpe", vocab_size=340, byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=True, minloglevel=2)
+    own = sentencepiece_codec.Codec(model.getvalue(), 1)
+    ids, same, _ = own.encode(["the  and of ", "\tthe and"])
+    assert same == [True, False]  # the tab is stripped by the rebuilt normaliser only
+    assert [list(x) for x in ids] == own.plain.encode(["the  and of ", "\tthe and"])
+
+
 def slow_rule(host, path):
     fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
