@@ -1,37 +1,35 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model file is parsed here (protobuf wire format, no generated code) and rebuilt:
-normaliser (precompiled map, extra white space, dummy prefix), the metaspace marker,
+normaliser (precompiled map, extra spaces, dummy prefix), the metaspace marker,
 piece scores (Unigram models as they are; BPE models as merges ranked by the merged
-piece's score) and byte fallback. If no piece of a BPE model has a marker behind
-another character, no merge can cross a word's start: then the distinct words of a
-batch are encoded and decoded, and texts are put together from them; else texts are
-coded unsplit.
+piece's score) and byte fallback. If no piece has a marker behind another character,
+no piece can cross a word's start: then the rebuilt tokenizer's pre-tokenizer cuts
+texts at markers, which lets its cache know words; else it works on unsplit texts.
 
-Batches are encoded multithreaded (``threads`` a task). Parity is verified against
-the sentencepiece library on all that is encoded, each distinct word of a text or the
-unsplit text: merges that can't cross a word's start give a text the ids of its words
-in either library. Where ids differ, that library's are taken and ``parity`` is false.
+Whole texts are encoded in multithreaded batches (``threads`` a task), and the emitted
+ids are decoded again, by the bytes of each piece (bytes that are no UTF-8 go to the
+sentencepiece library). Parity with that library is verified on every whole text:
+where ids differ, its own are taken and ``parity`` is false.
 
 The file's bytes are broadcast: their size is that of the model, whatever the input.
+A call holds some ``CALL_BYTES`` of text, or one text if it is longer.
 
 Defined results: null text is empty, and empty text has no tokens; the marker
 character U+2581 in a text decodes to a space, as in SentencePiece, and lone
-surrogates can't occur; control pieces (``<s>``) in a text are ordinary text; rows
-are coded one by one, whole, so ties and repeats don't matter; an empty table gives
-an empty result. Only the named columns are read.
+surrogates can't occur; control pieces (``<s>``) in a text are ordinary text, and so
+are names of byte pieces (``<0x41>``; a rebuilt Unigram model takes them for the
+byte, so such texts have no parity); rows are coded one by one, whole, so ties and
+repeats don't matter; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +45,8 @@ UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded in one call.
 CALL_BYTES = 1 << 20
-#: Distinct words a task remembers, some 60 MB, before it starts anew.
-MEMO_WORDS = 250_000
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Token ids decoded in one call.
+CALL_IDS = 1 << 18
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -107,6 +104,8 @@ def parse_model(data: bytes) -> Spec:
         elif number == 2:
             trainer = dict(wire(value))
             spec.kind, spec.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
+            if trainer.get(24, 0):
+                raise ValueError("models with the marker behind words can't be rebuilt")
         elif number == 3:
             norm = dict(wire(value))
             spec.charsmap, spec.dummy_prefix, spec.remove_extra, spec.escape = norm.get(2, b""), bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
@@ -125,109 +124,112 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
     return [(x[4], x[5]) for x in sorted(found)]
 
 
-def splits_at_words(spec: Spec) -> bool:
-    """Whether words can be coded one by one; with a normaliser that does more than mark spaces whole raw texts are compared."""
-    return spec.kind == BPE and spec.escape and not spec.charsmap and not spec.remove_extra and not any(MARK in piece.lstrip(MARK) for piece, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED))
+def splitter(spec: Spec):
+    """The pre-tokenizer that cuts at words, or None if a piece can cross a word's start."""
+    from tokenizers import Regex, pre_tokenizers
+
+    pieces = [piece for piece, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED)]
+    if not spec.escape or any(MARK in piece.lstrip(MARK) for piece in pieces):
+        return None
+    if any(piece.startswith(MARK * 2) for piece in pieces):  # runs of markers stay together
+        return pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+    return pre_tokenizers.Metaspace(MARK, "never", True)
+
+
+def only_marks(spec: Spec) -> bool:
+    """Whether the normaliser does no more than to mark spaces."""
+    return spec.escape and not spec.charsmap and not spec.remove_extra
 
 
 def build(spec: Spec):
     """The tokenizers-library tokenizer of a model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import Regex, Tokenizer, models, normalizers
 
     unknown = spec.ids(UNKNOWN)[0]
     if spec.kind == BPE:
         vocab = {piece: k for k, (piece, _, _) in enumerate(spec.pieces)}
         model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
     elif spec.kind == UNIGRAM:
-        model = models.Unigram([(piece, score) for piece, score, _ in spec.pieces], unknown, spec.byte_fallback)
+        # pieces that no text may match get a space in their name: marked texts have none; byte pieces need their names
+        known = [(piece if kind in (NORMAL, USER_DEFINED, BYTE) else f" {piece}", score) for piece, score, kind in spec.pieces]
+        model = models.Unigram(known, unknown, spec.byte_fallback)
     else:
         raise ValueError("only Unigram and BPE models can be rebuilt")
     tokenizer = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.remove_extra:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if spec.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     if spec.escape:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if spec.dummy_prefix:
-        back.append(decoders.Strip(" ", 1, 0))
-    tokenizer.decoder = decoders.Sequence(back)
+    if (split := splitter(spec)) is not None:
+        tokenizer.pre_tokenizer = split
     return tokenizer
 
 
+def surfaces(spec: Spec) -> list[bytes]:
+    """The bytes that each piece stands for."""
+    out = []
+    for piece, _, kind in spec.pieces:
+        if kind == BYTE:
+            out.append(bytes([int(piece[3:5], 16)]))
+        elif kind in (CONTROL, UNKNOWN):
+            out.append(b"" if kind == CONTROL else " \u2047 ".encode())
+        else:
+            out.append(piece.replace(MARK, " ").encode())
+    return out
+
+
 class Codec:
-    """Encodes and decodes batches; made once a Python worker."""
+    """Encodes and decodes batches of whole texts; made once a Python worker."""
 
     def __init__(self, data: bytes, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
-        from tokenizers import Tokenizer, decoders
 
         self.spec, self.threads = parse_model(data), threads
         self.fast = build(self.spec)
+        if marks := only_marks(self.spec):
+            # the same steps as plain text replacement; the library's own keep a table of offsets for each character
+            from tokenizers import normalizers
+
+            self.fast.normalizer = normalizers.Sequence([])
+        self.marks = marks
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = np.zeros(len(self.spec.pieces), bool)
         self.bytes[self.spec.ids(BYTE)] = True
-        self.words = None
-        if splits_at_words(self.spec):
-            self.words = Tokenizer(self.fast.model)  # words come normalised
-            self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-            self.known: dict[str, bytes] = {}  # ids as 32-bit integers
-            self.odd: dict[str, str] = {}  # decoded text, where it isn't the word
-            self.differ: set[str] = set()  # words on which the libraries don't agree
-
-    def forget(self) -> None:
-        self.known, self.odd, self.differ = {}, {}, set()
-
-    def normalize(self, text: str) -> str:
-        return (MARK if self.spec.dummy_prefix else "") + text.replace(" ", MARK)
-
-    def plain_words(self, words: list[str]) -> list[list[int]]:
-        """What the sentencepiece library makes of normalised words."""
-        cut = 1 if self.spec.dummy_prefix else 0
-        return self.plain.encode([w[cut:].replace(MARK, " ") for w in words], num_threads=self.threads)
-
-    def learn(self, words: list[str]) -> None:
-        coded = [x.ids for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        for k, (word, ours, theirs) in enumerate(zip(words, coded, self.plain_words(words))):
-            if ours != theirs and len(word) > 1:  # a lone marker is no text to that library
-                self.differ.add(word)
-                coded[k] = theirs
-        back = self.words.decode_batch(coded, skip_special_tokens=False)
-        self.odd.update((w, t) for w, t in zip(words, back) if t != w.replace(MARK, " "))
-        self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(words, coded))
-
-    def encode_words(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
-        split = [_WORD.findall(self.normalize(t)) if t else [] for t in texts]
-        if len(self.known) > MEMO_WORDS:
-            self.forget()
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        ids, same, back = [], [], []
-        for words in split:
-            ids.append(np.frombuffer(b"".join(map(get, words)), np.int32))
-            same.append(not self.differ or self.differ.isdisjoint(words))
-            text = "".join(words).replace(MARK, " ") if not self.odd or self.odd.keys().isdisjoint(words) else "".join(self.odd.get(w, w.replace(MARK, " ")) for w in words)
-            back.append(text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text)
-        return ids, same, back
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        self.surface = surfaces(self.spec)
+
+    def normalize(self, texts: list[str]) -> list[str]:
+        """What the rebuilt tokenizer is given: marked texts, or raw ones where its own normaliser does more."""
+        if not self.marks:
+            return texts
+        lead = MARK if self.spec.dummy_prefix else ""
+        return [lead + t.replace(" ", MARK) if t else t for t in texts]
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[str]]:
         """Ids of each text, whether both libraries agree on them, and the texts decoded from them."""
-        if self.words is not None:
-            return self.encode_words(texts)
-        ids = [x.ids if t else [] for x, t in zip(self.fast.encode_batch_fast(texts, add_special_tokens=False), texts)]
-        plain = self.plain.encode(texts, num_threads=self.threads)
-        same = [a == b for a, b in zip(ids, plain)]
-        return [np.array(x, np.int32) for x in plain], same, self.decode(plain)
+        ours = [x.ids for x in self.fast.encode_batch_fast(self.normalize(texts), add_special_tokens=False)]
+        ids = self.plain.encode(texts, num_threads=self.threads)
+        return ids, [a == b for a, b in zip(ours, ids)], self.decode(ids)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.fast.decode_batch(ids, skip_special_tokens=False)
+        out, surface = [], self.surface
+        for x in ids:
+            try:
+                text = b"".join([surface[i] for i in x]).decode("utf-8")
+            except UnicodeDecodeError:
+                out.append(self.plain.decode(x))
+                continue
+            if self.spec.remove_extra:
+                text = text.lstrip(" ")
+            elif self.spec.dummy_prefix and text[:1] == " ":
+                text = text[1:]
+            out.append(text)
+        return out
 
 
 _codecs: dict[tuple[str, int], Codec] = {}
@@ -272,6 +274,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             at = 0
             for texts in calls(batch.column(1).to_pylist()):
                 ids, same, back = own.encode(texts)
+                ids = [np.array(x, np.int32) for x in ids]
                 offsets = np.cumsum([0] + [len(x) for x in ids])
                 columns = {
                     "id": batch.column(0).slice(at, len(texts)),
@@ -286,7 +289,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 columns = {k: v for k, v in columns.items() if v is not None}
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-        own.forget()
         release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -303,10 +305,17 @@ def decode(tokens: DataFrame, ids_col: str = "ids", model_path: str = DEFAULT_MO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, threads)
         for batch in batches:
-            ids = batch.column(at).to_pylist()
-            texts = own.decode([x or [] for x in ids])
-            text = pa.array([None if x is None else t for x, t in zip(ids, texts)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out])
+            sizes = np.cumsum([0 if x is None else x for x in batch.column(at).value_lengths().to_pylist()])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CALL_IDS, "right")))
+                part = batch.slice(lo, hi - lo)
+                ids = part.column(at).to_pylist()
+                texts = own.decode([x or [] for x in ids])
+                text = pa.array([None if x is None else t for x, t in zip(ids, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, out])
+                lo = hi
+        release()
 
     from pyspark.sql.types import StringType, StructType
 

@@ -11,6 +11,7 @@ import itertools
 import math
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -263,25 +264,61 @@ def test_sentencepiece_parity_on_any_text(text):
     with open(sentencepiece_codec.DEFAULT_MODEL, "rb") as f:
         c = sentencepiece_codec.codec(f.read(), 1)
     ids, same, back = c.encode([text, text + " " + text])
-    assert same == [True, True] and ids[1].tolist() == c.plain.encode(text + " " + text)
-    assert back[0] == text.replace("▁", " ")
+    assert same == [True, True] and ids[1] == c.plain.encode(text + " " + text)
+    assert back[0] == text.replace("▁", " ") and back == c.plain.decode(ids)
 
 
 # URLs
 
 
-def test_sentencepiece_parity_sees_the_normalizer():
-    import io
-
-    import sentencepiece
-
-    model = io.BytesIO()
-    words = [" ".join(VOCABULARY["en"][k:] + VOCABULARY["en"][:k]) for k in range(30)]
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(words), model_writer=model, model_type="bpe", vocab_size=340, byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=True, minloglevel=2)
-    own = sentencepiece_codec.Codec(model.getvalue(), 1)
-    ids, same, _ = own.encode(["the  and of ", "\tthe and"])
-    assert same == [True, False]  # the tab is stripped by the rebuilt normaliser only
-    assert [list(x) for x in ids] == own.plain.encode(["the  and of ", "\tthe and"])
+def wire_field(number, value):
+    """A field of a protobuf message: an integer, a float or bytes."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(kind, pieces, byte_fallback=True, remove_extra=False, dummy_prefix=True):
+    """A model written by hand: pieces and their scores are given, nothing is trained."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_fallback] + [(t, s, 1) for t, s in pieces]
+    out = b"".join(wire_field(1, wire_field(1, t.encode()) + wire_field(2, float(s)) + wire_field(3, k)) for t, s, k in pieces)
+    out += wire_field(2, wire_field(3, kind) + wire_field(35, int(byte_fallback)))
+    return out + wire_field(3, wire_field(1, b"identity") + wire_field(3, int(dummy_prefix)) + wire_field(4, int(remove_extra)) + wire_field(5, 1))
+
+
+UNIGRAM_PIECES = [(c, -6.0 - k / 40) for k, c in enumerate("\u2581abcdefghijklmnopqrstuvwxyz\u00e9.")] + [("\u2581the", -2.0), ("th", -3.5), ("he", -3.25), ("ing", -3.0), ("\u2581an", -2.75), ("and", -3.125), ("\u2581and", -2.5), ("er", -3.75)]
+BPE_PIECES = [(x, -float(k)) for k, x in enumerate(["th", "he", "an", "\u2581th", "\u2581the", "and", "\u2581a", "in", "ing", "er", "\u2581and"])] + [(c, -20.0 - k) for k, c in enumerate("\u2581abcdefghijklmnopqrstuvwxyz\u00e9.")]
+CROSSING = [("e\u2581", -0.25), ("e\u2581a", -0.5), ("\u2581\u2581", -1.5)]
+
+
+@pytest.mark.parametrize("kind,pieces", [(1, UNIGRAM_PIECES), (2, BPE_PIECES), (1, UNIGRAM_PIECES + CROSSING), (2, BPE_PIECES + CROSSING), (1, UNIGRAM_PIECES + CROSSING[2:]), (2, BPE_PIECES + CROSSING[2:])])
+@pytest.mark.parametrize("remove_extra,dummy_prefix", [(False, True), (True, True), (False, False)])
+def test_sentencepiece_models_of_each_kind(kind, pieces, remove_extra, dummy_prefix):
+    own = sentencepiece_codec.Codec(model_file(kind, pieces, remove_extra=remove_extra, dummy_prefix=dummy_prefix), 2)
+    assert (sentencepiece_codec.splitter(own.spec) is None) == (CROSSING[0] in pieces)
+    r = random.Random(kind)
+    texts = ["", " ", "the and", "  the   and ", "\tthe", "\u00e9\u4f60 <s> the", "the " * 300] + [" ".join(r.choice(["the", "thing", "and", "other", "", "anderer", "\u00e9t\u00e9", "\u597d", "x.y"]) for _ in range(r.randrange(30))) for _ in range(60)]
+    ids, same, back = own.encode(texts)
+    assert ids == own.plain.encode(texts) and all(same)
+    assert back == own.plain.decode(ids)
+    assert own.decode([[5, 250, 3 + 0xC3, 3 + 0xA9, 3 + 0xFF]]) == own.plain.decode([[5, 250, 3 + 0xC3, 3 + 0xA9, 3 + 0xFF]])
+
+
+def test_sentencepiece_parity_is_seen(monkeypatch):
+    """A rebuilt tokenizer that differs is reported, and the library's ids are emitted."""
+    own = sentencepiece_codec.Codec(model_file(2, BPE_PIECES), 1)
+    wrong = sentencepiece_codec.build(sentencepiece_codec.parse_model(model_file(2, BPE_PIECES[5:] + BPE_PIECES[:5])))
+    own.fast, own.marks = wrong, False
+    ids, same, _ = own.encode(["the and", ""])
+    assert same == [False, True] and ids[0] == own.plain.encode("the and")
 
 
 def slow_rule(host, path):
