@@ -11,9 +11,11 @@ byte in all languages. Scoring a text is two array lookups a byte.
 
 Bytes are folded first: A-Z to a-z, every run of ASCII non-letters to one space.
 
-Training reads a bounded sample of the labelled rows: ``sample_docs`` whole texts a
-language, those with the smallest hash of the identifier. Prediction uses the text
-alone and reads all of it.
+Training reads a bounded sample of the labelled rows: at most ``sample_docs`` whole
+texts a language, those with the smallest hash of identifier and text, so that rows
+that share an identifier (or have none) are drawn one by one and no labelled language
+is lost; a repeated row counts once. The model's size is checked against ``max_cells``
+before it is built: beyond that the sample is halved in every language. Prediction uses the text alone and reads all of it.
 
 Defined results: a null text or one without a letter (Unicode category L) is
 ``und`` with score 0; equal code lengths go to the language that sorts first;
@@ -29,10 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, release, unit_hash
+from .common import release
 
 UND = "und"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,6 +44,10 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 TRUST = 64
 #: Positions scored at once.
 SLICE = 1 << 20
+#: Bytes of text judged in one call, unless one text is longer.
+CALL_BYTES = 4 << 20
+#: Cells (contexts x symbols x languages) that a model may have: 4 bytes each when it is broadcast.
+MAX_CELLS = 32_000_000
 
 
 def fold(text: bytes) -> bytes:
@@ -63,7 +70,11 @@ class Model:
     bits: np.ndarray
 
 
-def train(samples: list[tuple[str, bytes]], order: int = 3) -> Model:
+class ModelTooLarge(ValueError):
+    """The sample's model would have more cells than allowed."""
+
+
+def train(samples: list[tuple[str, bytes]], order: int = 3, max_cells: int | None = None) -> Model:
     """A model from (language, text) pairs."""
     languages = sorted({lang for lang, _ in samples})
     joined = {lang: b"".join(b" " * order + fold(t) for k, t in samples if k == lang) for lang in languages}
@@ -81,6 +92,8 @@ def train(samples: list[tuple[str, bytes]], order: int = 3) -> Model:
         return out
 
     contexts = [np.unique(np.concatenate([codes(s, k)[: len(s) - k] for s in streams.values()] or [np.zeros(0, np.int64)])) if k else np.zeros(1, np.int64) for k in range(order + 1)]
+    if max_cells is not None and sum(map(len, contexts)) * n * len(languages) > max_cells:
+        raise ModelTooLarge(f"{sum(map(len, contexts))} contexts of {n} symbols in {len(languages)} languages")
     prob: list[np.ndarray] = []
     for k, known in enumerate(contexts):
         level = np.empty((len(known), n, len(languages)))
@@ -135,16 +148,45 @@ def code_lengths(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return out, sizes
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = 400, order: int = 3, seed: int = 5) -> Model | None:
-    """Trains on ``sample_docs`` labelled rows a language at most; None if there are none."""
-    labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    light = labelled.select(F.col(label_col).alias("label"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), unit_hash(F.col(id_col), F.lit(seed)).alias("u"))
-    counts = light.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    share = counts.select(F.col("label").alias("_label"), (F.lit(2.0 * sample_docs) / F.col("n")).alias("share"))
-    drawn = join_checked(labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), unit_hash(F.col(id_col), F.lit(seed)).alias("u")), share, F.expr("label = _label")).filter("u < share")
-    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).filter(F.col("k") <= sample_docs)
-    rows = first.select("label", F.col("text").cast("binary").alias("text")).collect()  # sample_docs texts a language
-    return train([(r["label"], bytes(r["text"])) for r in rows], order) if rows else None
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = 400, sample_bytes: int = 16 << 20, order: int = 3, seed: int = 5, max_cells: int = MAX_CELLS, max_languages: int = 1000) -> Model | None:
+    """Trains on ``sample_docs`` labelled texts a language at most; None if there are none.
+
+    Of a language with more than ``sample_bytes`` in them, the first that fit, one at least.
+    """
+    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit(seed))
+    labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), h.alias("h"))
+    # which texts are drawn is decided on hashes alone; the rank limit is applied in each partition first
+    light = labelled.groupBy("label", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    languages = light.select("label").distinct().limit(max_languages + 1).count()
+    if languages > max_languages:
+        raise ValueError(f"more than {max_languages} values of {label_col}")
+    by_hash = Window.partitionBy("label").orderBy("h")
+    ranked = light.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs)
+    ranked = ranked.withColumn("bytes", F.sum("n").over(by_hash)).filter((F.col("k") == 1) | (F.col("bytes") <= sample_bytes))
+    drawn = ranked.select(F.col("label").alias("_label"), F.col("h").alias("_h"), "k")  # languages * sample_docs rows at most
+    found = labelled.join(F.broadcast(drawn), (F.col("label") == F.col("_label")) & (F.col("h") == F.col("_h")))
+    rows = found.groupBy("label", "k").agg(F.min("text").alias("text")).select("label", "k", F.col("text").cast("binary").alias("text")).collect()
+    samples = sorted((r["label"], r["k"], bytes(r["text"])) for r in rows)
+    while samples:
+        try:
+            return train([(lang, text) for lang, _, text in samples], order, max_cells)
+        except ModelTooLarge:
+            keep = max(k for _, k, _ in samples) // 2
+            if not keep:
+                raise
+            samples = [x for x in samples if x[1] <= keep]
+    return None
+
+
+def slices(part: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of at most 512 rows and some CALL_BYTES of text."""
+    sizes = np.cumsum([x or 0 for x in pa.compute.binary_length(part.column(column)).to_pylist()])
+    lo = 0
+    while lo < part.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CALL_BYTES, "right")))
+        hi = min(hi, lo + 512)
+        yield part.slice(lo, hi - lo)
+        lo = hi
 
 
 def judge(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -167,14 +209,13 @@ def judge(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], np
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, lang_pred, score, bits_per_byte: one row per row of ``docs``.
 
-    The model is broadcast; the sample bounds its size (some 10 MB at 4 languages).
+    The model is broadcast; ``fit`` checks its size (some 10 MB at 4 languages).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, 1):
                 names, scores, rates = judge(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], names=["id", "lang_pred", "score", "bits_per_byte"])
         release()
@@ -196,9 +237,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
-            texts = batch.column(at).cast(pa.binary())
-            for lo in range(0, batch.num_rows, 512):
-                keep += [x != UND for x in judge(shared.value, texts.slice(lo, 512).to_pylist())[0]]
+            texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.binary())], names=["text"])
+            for part in slices(texts, 0):
+                keep += [x != UND for x in judge(shared.value, part.column(0).to_pylist())[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
         release()
 

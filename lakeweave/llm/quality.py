@@ -194,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     thin = marked.filter(F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
     drawn = thin.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_docs).select("_id", "good")
     # of rows that repeat an identifier the one with the smallest hash of its text: 2 * sample_docs rows at most
-    found = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")).filter(F.col(text_col).isNotNull())
-    rows = found.groupBy("_id", "good").agg(F.min_by(text_col, F.sha2(text_col, 256)).alias("text")).select("good", "text").collect()
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())  # other columns may have any name
+    found = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
+    rows = found.groupBy("_id", "good").agg(F.min_by("_text", F.sha2("_text", 256)).alias("_text")).select("good", "_text").collect()
     memo = _Memo()
     samples = [(CONTENT if good else BOILERPLATE, np.array(read_document(text, memo)[1]).reshape(-1, len(FEATURES))) for good, text in sorted(map(tuple, rows))]
     samples = [(y, x) for y, x in samples if len(x)]

@@ -192,6 +192,41 @@ def test_language_id(spark):
     assert none is None and language_id.identify(docs, none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_loses_no_language(spark):
+    r = random.Random(3)
+    text = lambda lang: " ".join(r.choice(VOCABULARY[lang]) for _ in range(12))
+    rows = [(None, text("fr"), "fr") for _ in range(300)] + [(k, text("en"), "en") for k in range(300)] + [(7, "xyz zyx xyz", "zz")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample_docs=20)
+    assert model.languages == ["en", "fr", "zz"]
+    again = language_id.fit(docs.repartition(5), sample_docs=20)
+    assert np.array_equal(model.bits, again.bits)
+    small = language_id.fit(docs, sample_docs=20, max_cells=model.bits.size - 1)
+    assert small.languages == model.languages and small.bits.size < model.bits.size
+    assert language_id.fit(docs, sample_docs=20, sample_bytes=1).languages == model.languages
+    with pytest.raises(ValueError):
+        language_id.fit(docs, max_languages=2)
+
+
+def test_language_id_on_held_out_rows(spark):
+    """Accuracy on rows that were not learnt from."""
+    docs, rows = make_docs(spark, 17, 400)
+    model = language_id.fit(docs.filter(~language_id.held_out("doc_id")), sample_docs=100)
+    mine = [(r["lang_pred"], r["id"]) for r in language_id.identify(docs, model).filter(language_id.held_out("id")).collect()]
+    lang = {i: x for i, _, x, _ in rows[:400]}
+    right = [p == lang[i] for p, i in mine if i in lang]
+    assert len(right) > 80 and sum(right) / len(right) > 0.97
+
+
+def test_slices_bound_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_id, "CALL_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"abc", None, b"x" * 50, b"", b"abcdef", b"abcdef"], pa.binary())], names=["t"])
+    parts = [p.column(0).to_pylist() for p in language_id.slices(batch, 0)]
+    assert sum(parts, []) == batch.column(0).to_pylist() and [len(p) for p in parts] == [2, 1, 2, 1]
+
+
 def slow_bits(samples, text, order):
     """PPM with method C by counting, one symbol at a time."""
     symbols = sorted(set(b"".join(t for _, t in samples)) | {32})
@@ -513,6 +548,43 @@ def test_quality_learns_from_one_row_of_each_identifier(spark, monkeypatch):
     assert seen == [[(1, False)] + [(k + 1, True) for k in range(1, 6)]]
 
 
+def test_quality_with_clashing_names(spark):
+    prose = "\n".join(f"The quiet{k} river{k} ran{k} past{k} mill{k} and sea{k}." for k in range(20))
+    junk = "\n".join(f"w{k}### x$$$ y%%% z{k}&&& | Buy!! NOW!!" for k in range(20))
+    rows = [(k, prose + f" {k}" if k % 2 else junk + f" {k}", None, "x", 0, "z", "a", "b") for k in range(12)] + [(None, prose, None, "x", 0, "z", "a", "b"), (0, None, None, "x", 0, "z", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean, _id string, h int, k string, _text string, _doc string")
+    labels = spark.createDataFrame([(k, k % 2, "q") for k in range(12)] * 2 + [(None, 1, "q"), (3, None, "q")], "doc_id long, quality int, good string")
+    kept = {r["id"]: r["kept"] for r in quality.score_quality(docs, quality.fit(docs, labels)).filter("id IS NOT NULL").groupBy("id").agg(F.max("kept").alias("kept")).collect()}
+    assert kept == {k: bool(k % 2) for k in range(12)}
+    assert quality.fit(docs, labels.limit(0))[0].shape == quality.fit(docs.limit(0), labels)[0].shape
+
+
+def test_line_labels_and_gradient():
+    """Line labels split a bad document; training reaches a likelihood that small changes of a weight don't beat."""
+    r = np.random.default_rng(5)
+    content = lambda n: np.hstack([np.ones((n, 1)), r.normal(0, 0.01, (n, len(quality.FEATURES) - 1))])
+    junk = lambda n: np.hstack([np.ones((n, 1)), r.normal(1, 0.01, (n, len(quality.FEATURES) - 1))])
+    labelled = quality.line_labels([(quality.CONTENT, content(8)), (quality.BOILERPLATE, np.vstack([content(3), junk(5)])), (quality.BOILERPLATE, junk(4))])
+    assert [x.tolist() for x, _ in labelled] == [[0] * 8, [0, 0, 0, 1, 1, 1, 1, 1], [1] * 4]
+
+    def likelihood(emit, step):
+        total, mass = 0.0, 0.0
+        for y, x in labelled:
+            score = lambda z: sum(x[k] @ emit[z[k]] for k in range(len(z))) + sum(step[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            w = 1 / math.sqrt(len(x))
+            total += w * (score(y) - math.log(sum(math.exp(score(z)) for z in itertools.product((0, 1), repeat=len(y)))))
+            mass += w * len(x)
+        return total / mass * 4 - 1e-3 / 2 * (emit**2).sum()
+
+    emit, step = quality.train(labelled, steps=4000)
+    best = likelihood(emit, step)
+    for j in range(3):
+        for d in (-0.2, 0.2):
+            other = emit.copy()
+            other[0, j] += d
+            assert likelihood(other, step) < best
+
+
 def test_viterbi_is_the_best_labelling():
     r = np.random.default_rng(2)
     for _ in range(20):
