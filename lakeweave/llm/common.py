@@ -68,12 +68,19 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limi
     return left.join(F.broadcast(right) if small_or_none(right, limit) else right, on, how)
 
 
+#: Rows of the light side that a task may hash.
+HASHED_ROWS = 2_000_000
+
+
 def join_dealt(docs: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Joins whole documents with a light side by one shuffle, in the same way at every size.
+    """Joins whole documents with a light side, a written table, by one shuffle.
 
-    The light side is hashed within each partition, so texts are dealt but not sorted.
+    The light side is hashed within each partition, so texts are dealt but not sorted;
+    only where a partition would hash more than HASHED_ROWS rows both sides are sorted,
+    which can spill.
     """
-    return docs.join(right.hint("shuffle_hash"), on, how)
+    rows = right.count() / shuffle_partitions(docs.sparkSession)
+    return docs.join(right.hint("shuffle_hash" if rows <= HASHED_ROWS else "merge"), on, how)
 
 
 def unit_hash(*cols: Column | str) -> Column:

@@ -57,9 +57,12 @@ def empty(spark):
 # exact dedup
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("fan_in", [2, 4])
+def test_exact_dedup(spark, fan_in):
     docs, rows = make_docs(spark)
-    got = exact_dedup.exact_dedup(docs, fan_in=2).collect()
+    rows += [(None, f"null {k}", "en", "a") for k in range(30)] + [(k, "the hot text", "en", "a") for k in range(1000, 1200)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, lang, s, None, "x", 1, 2, 3, "y") for i, t, lang, s in rows[-230:]], SCHEMA))
+    got = exact_dedup.exact_dedup(docs, fan_in=fan_in).collect()
     groups = collections.defaultdict(list)
     for i, t, *_ in rows:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
@@ -72,9 +75,24 @@ def test_exact_dedup(spark):
     assert sum(r["kept"] for r in got) == len(groups)
     stay = exact_dedup.drop_copies(docs)
     assert stay.columns == docs.columns and stay.count() == len(groups)
+    whole = collections.Counter((re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r["doc_id"]) for r in stay.collect())
+    assert whole == collections.Counter((t, min((i for i in ids if i is not None), default=None)) for t, ids in groups.items())
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0 and exact_dedup.drop_copies(empty(spark)).count() == 0
 
 
+def test_merged_runs_stay_sorted(spark):
+    """A round has one exchange and one sort, and its runs come out in digest order."""
+    docs, _ = make_docs(spark)
+    leaves = exact_dedup.leaf_runs(docs, "doc_id", "text", 4, 64)
+    plan = leaves._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    order = leaves.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("k"), "run", "digest").collect()
+    for _, part in itertools.groupby(sorted(order, key=lambda r: r["k"]), key=lambda r: r["p"]):
+        for _, run in itertools.groupby(part, key=lambda r: r["run"]):
+            digests = [bytes(r["digest"]) for r in run]
+            assert digests == sorted(digests)
+
+
 # mixing
 
 
