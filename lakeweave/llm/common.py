@@ -43,7 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._lw_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more."""
+    from pyarrow import fs
+
+    for table in tables:
+        store, path = fs.FileSystem.from_uri(table._lw_path if ":" in table._lw_path else f"file://{table._lw_path}")
+        store.delete_dir(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -481,7 +481,7 @@ def slow_components(rows, size=5, percent=75):
     return sorted((str(i), len(s), min((x for x in least[find(k)] if x is not None), default=None)) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("seed,block_rows", [(11, 512), (12, 2)])
+@pytest.mark.parametrize("seed,block_rows", [(11, 256), (12, 2)])
 def test_ngram_join(spark, seed, block_rows):
     docs, rows = make_docs(spark, seed, 120)
     got = sorted((str(r["id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs, block_rows=block_rows).collect())
@@ -501,6 +501,37 @@ def test_ngram_join_of_a_family_around_no_hub(spark):
     assert got == slow_components(rows)
 
 
+def test_ngram_join_splits_shared_columns(spark):
+    """Columns that many rows share travel apart from the others; families and a passage in all texts keep their answer."""
+    r = random.Random(8)
+    passage = " ".join(f"shared{k}" for k in range(30))
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(50):
+        words = list(base)
+        words[r.randrange(90)] = f"c{k}"
+        rows.append((k, " ".join(words), "en", "a"))
+    rows += [(100 + k, passage + " " + " ".join(f"o{k}_{j}" for j in range(40)), "en", "a") for k in range(40)]
+    rows += [(200 + k, passage, "en", "a") for k in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string").repartition(3)
+    blocks = ngram_join.incidence(docs, "doc_id", "text", 5, 4)
+    assert blocks.filter(F.col("kind") == ngram_join.SPLIT).count() > 50
+    got = sorted((str(r["id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs, block_rows=8).collect())
+    assert got == slow_components(rows)
+
+
+def test_tile_counts_overlaps():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(-40, 40, n)) for n in (1, 5, 30, 60, 60, 12)]
+    tile = ngram_join.Tile([(k, len(x), k, x) for k, x in enumerate(sets)])
+    ngram_join.STEP, old = 7, ngram_join.STEP
+    try:
+        got = tile.overlaps(sets)
+    finally:
+        ngram_join.STEP = old
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
