@@ -10,19 +10,25 @@ a quota needs sums per (from, to) pair of shards and no sort. Loads pass through
 the driver: ``n_shards ** 2`` numbers, whatever the input. After the last round,
 units that were refused every time move without a quota, so no unit stays cut.
 
+A group above ``1 / heavy_share`` of all bytes or of all rows is cut into hash chunks of an
+eighth of that, since a text that a third of all rows share can't stay in one shard of sixteen, nor
+its rows in one task. There are at most ``2 * heavy_share`` such groups, so a plan on the
+driver gives them shards before the rounds begin, the heaviest first: a group goes whole
+to the emptiest shard, and only where that is full its next chunks go to the next one.
+These labels stay: a heavy group lies in the fewest shards that hold it, or one more.
+
 Once groups are together, whole units move from over-full shards to the others:
 units are dealt to ``buckets`` hash buckets, and bucket sums (a fixed number of
-rows) say which bucket ranges make the sizes even. A unit is a group, or for a
-group above ``1 / heavy_share`` of all bytes a hash chunk of it, since a text that
-a third of all rows share can't stay in one shard of sixteen. There are at most
-``heavy_share`` such groups, which bounds what is broadcast.
+rows) say which bucket ranges make the sizes even. A unit is a document or a group that
+isn't heavy.
 
 The law is ``bytes``: shard sizes are near equal. ``slot`` numbers the rows of a
 shard without gaps: counts per hash bucket of a shard give each bucket its first
 slot, and rows are numbered within their bucket, so no task sorts a whole shard.
 
 Defined results: a null text has no bytes, size 1, CRC-32 0 and is grouped with
-the empty text; repeated rows are rows of their own; an empty table gives an empty
+the empty text; rows without an identifier are dealt by their place in the input; repeated
+rows are rows of their own; an empty table gives an empty
 result. Only the named columns are read.
 """
 
@@ -35,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, unit_hash
 
-UNIT = ["group", "chunk"]
+#: Rows that one task numbers in a shard, on average.
+SLOT_ROWS = 500_000
 
 
 def _loads(rows: DataFrame, n_shards: int) -> list[int]:
@@ -46,14 +53,14 @@ def _loads(rows: DataFrame, n_shards: int) -> list[int]:
 
 
 def propagate(rows: DataFrame, n_shards: int, rounds: int, slack: float, seed: int) -> DataFrame:
-    """Moves linked rows to one shard of their unit: within quotas for ``rounds`` rounds, then all that are left."""
+    """Moves linked rows to one shard of their group: within quotas for ``rounds`` rounds, then all that are left."""
     for k in range(rounds + 1):
         loads = _loads(rows, n_shards)
         capacity = sum(loads) / n_shards * (1 + slack)
         room = F.element_at(F.array(*[F.lit(x < capacity) for x in loads]), F.col("shard") + 1)
-        held = rows.filter("linked").groupBy(*UNIT, "shard").agg(F.sum("size").alias("b"))
-        wanted = held.groupBy(*UNIT).agg(F.max_by("shard", F.struct(room, "b", F.xxhash64("group", "shard"))).alias("wish"))
-        seen = materialize(rows.filter("linked").join(wanted, UNIT), "wishes")
+        held = rows.filter("linked").groupBy("group", "shard").agg(F.sum("size").alias("b"))
+        wanted = held.groupBy("group").agg(F.max_by("shard", F.struct(room, "b", F.xxhash64("group", "shard"))).alias("wish"))
+        seen = materialize(rows.filter("linked").join(wanted, "group"), "wishes")
         flows = seen.filter("wish != shard").groupBy("shard", "wish").agg(F.sum("size").alias("b")).collect()  # n_shards ** 2 rows at most
         if not flows:
             break
@@ -64,20 +71,36 @@ def propagate(rows: DataFrame, n_shards: int, rounds: int, slack: float, seed: i
         quota = [max(0.0, capacity - loads[s] + leaving[s]) for s in range(n_shards)]
         share = [1.0 if k == rounds else min(1.0, quota[s] / demand[s]) if demand[s] else 0.0 for s in range(n_shards)]
         admit = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("wish") + 1)
-        moved = F.when(unit_hash("group", "chunk", F.lit(seed + k)) < admit, F.col("wish")).otherwise(F.col("shard"))
+        moved = F.when(unit_hash("group", F.lit(seed + k)) < admit, F.col("wish")).otherwise(F.col("shard"))
         rows = materialize(rows.filter("NOT linked").unionByName(seen.withColumn("shard", moved).drop("wish")), "round")
     return rows
 
 
+def plan(chunks: list[tuple[bytes, int, int]], total: int, n_shards: int) -> list[tuple[bytes, int, int]]:
+    """(group, chunk, shard) of heavy groups' chunks (group, chunk, bytes): as few shards to a group as the even size allows."""
+    sizes: dict[bytes, list[tuple[int, int]]] = {}
+    for group, chunk, size in sorted(chunks):
+        sizes.setdefault(group, []).append((chunk, size))
+    even, loads, out = total / n_shards, [0] * n_shards, []
+    for group, own in sorted(sizes.items(), key=lambda g: (-sum(s for _, s in g[1]), g[0])):
+        at = None
+        for chunk, size in own:
+            if at is None or loads[at] + size > even:
+                at = min(range(n_shards), key=lambda s: (loads[s], s))
+            loads[at] += size
+            out.append((group, chunk, at))
+    return out
+
+
 def even_out(rows: DataFrame, n_shards: int, buckets: int, seed: int) -> DataFrame:
-    """Moves hash buckets of whole units from over-full to under-full shards."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "chunk", F.lit(seed)), F.lit(buckets)).cast("int"))
-    sums = rows.groupBy("shard", "bucket").agg(F.sum("size").alias("b")).collect()  # n_shards * buckets rows at most
+    """Moves hash buckets of whole units from over-full to under-full shards; pinned rows stay."""
+    rows = rows.withColumn("bucket", F.when(F.col("pinned"), -1).otherwise(F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(buckets))).cast("int"))
+    sums = rows.groupBy("shard", "bucket").agg(F.sum("size").alias("b")).collect()  # n_shards * (buckets + 1) rows at most
     by: list[dict[int, int]] = [{} for _ in range(n_shards)]
     for r in sums:
         by[r["shard"]][r["bucket"]] = r["b"]
     loads = [sum(x.values()) for x in by]
-    held = [sorted((b, k, s) for k, b in x.items()) for s, x in enumerate(by)]  # (bytes, bucket, first shard)
+    held = [sorted((b, k, s) for k, b in x.items() if k >= 0) for s, x in enumerate(by)]  # (bytes, bucket, first shard)
     for _ in range(n_shards * buckets):
         low = min(range(n_shards), key=lambda x: (loads[x], x))
         for high in sorted(range(n_shards), key=lambda x: (-loads[x], x)):
@@ -104,30 +127,37 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     """Returns id, size, text_crc32, shard, slot, linked: one row per row of ``docs``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    spread = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()), F.lit(seed))
     first = materialize(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("group"),
-            F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_shards)).cast("int").alias("shard"),
-        ),
+            spread.alias("spread"),
+        ).withColumn("shard", F.pmod("spread", F.lit(n_shards)).cast("int")),
         "sizes",
     )
-    total = first.agg(F.sum("size")).first()[0] or 0
+    count, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     groups = materialize(first.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).filter("n > 1"), "groups")
-    unit = max(1, total // heavy_share)
-    heavy = groups.filter(F.col("b") > unit).select("group", F.ceil(F.col("b") / F.lit(unit)).cast("int").alias("chunks"))  # heavy_share rows at most
-    rows = first.join(F.broadcast(heavy), "group", "left").withColumn("chunk", F.pmod(F.xxhash64("id", "group"), F.coalesce("chunks", F.lit(1))).cast("int")).drop("chunks")
-    # which rows are linked: heavy groups are known by their broadcast, the rest join by (group, chunk), at most a unit to a key
-    marks = groups.join(F.broadcast(heavy), "group", "left").select("group", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), F.lit(True).alias("linked"))
-    rows = materialize(rows.join(marks, UNIT, "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "linked")
-    rows = propagate(rows, n_shards, rounds, slack, seed)
-    rows = materialize(even_out(rows, n_shards, buckets, seed + 100), "even")
-    n_buckets = max(1, 4 * shuffle_partitions(spark) // n_shards)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "group"), F.lit(n_buckets)).cast("int"))
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # n_shards * n_buckets rows
+    unit, unit_rows = max(1, total // heavy_share), max(1, count // heavy_share)
+    chunks = F.greatest(F.ceil(8 * F.col("b") / F.lit(unit)), F.ceil(8 * F.col("n") / F.lit(unit_rows))).cast("int")
+    is_heavy = (F.col("b") > unit) | (F.col("n") > unit_rows)
+    sizes = materialize(groups.filter(is_heavy).select("group", chunks.alias("chunks")), "heavy")  # 2 * heavy_share rows at most
+    rows = first.join(F.broadcast(sizes), "group", "left").withColumn("chunk", F.pmod(F.xxhash64("spread", F.lit(seed + 1)), F.col("chunks")).cast("int"))
+    held = rows.filter("chunk IS NOT NULL").groupBy("group", "chunk").agg(F.sum("size").alias("b")).collect()  # 18 * heavy_share rows at most
+    planned = spark.createDataFrame(plan([(bytes(r["group"]), r["chunk"], r["b"]) for r in held], total, n_shards), "group binary, chunk int, planned int")
+    rows = rows.join(F.broadcast(planned), ["group", "chunk"], "left").withColumn("pinned", F.col("planned").isNotNull()).withColumn("shard", F.coalesce("planned", "shard")).drop("chunk", "chunks", "planned")
+    # which other rows are linked: a key has at most a unit of rows
+    marks = groups.filter(~is_heavy).select("group", F.lit(True).alias("linked"))
+    loose = rows.filter("NOT pinned").join(marks, "group", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    rows = materialize(rows.filter("pinned").withColumn("linked", F.lit(False)).unionByName(loose), "linked")
+    last = propagate(rows, n_shards, rounds, slack, seed)
+    rows = materialize(even_out(last, n_shards, buckets, seed + 100), "even")
+    n_buckets = max(4, 4 * shuffle_partitions(spark) // n_shards, count // (n_shards * SLOT_ROWS))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("spread", F.lit(seed + 2)), F.lit(n_buckets)).cast("int"))
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # n_shards * n_buckets rows, one for SLOT_ROWS documents
     starts = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_last(), "group"))
-    rows = rows.withColumn("place", place).join(F.broadcast(starts), ["shard", "bucket"])
-    return rows.select("id", "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), "linked")
+    rows = rows.withColumn("place", place).join(starts, ["shard", "bucket"])
+    return rows.select("id", "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), (F.col("linked") | F.col("pinned")).alias("linked"))
