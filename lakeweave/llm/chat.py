@@ -1,12 +1,12 @@
 """Chat formatting of reply trees (DataFrame functions only).
 
-Messages form trees: each names its parent. Leaves are found by an anti-join; then
-self-joins double what is known: after round ``k`` every leaf has its path's last
-``2 ** k`` messages and every message its ancestor ``2 ** k`` steps up, so a path of
-``d`` messages takes ``log2 d`` rounds, not ``d``. The pairs written are the paths
-themselves, nothing more. Branches of a tree are ranked by the sum of their
-messages' scores (ties: the longer, then the smaller leaf), and each of the ``top``
-best becomes one conversation.
+Messages form trees: each names its parent. Self-joins double what is known: after round
+``k`` a message knows its ancestor ``2 ** k`` steps up and the sum of the scores until there,
+so sums over paths of ``d`` messages take ``log2 d`` rounds of one row a message. Leaves are
+found by an anti-join and ranked in their tree by the sum of their path's scores (ties: the
+longer, then the smaller leaf). Only then the paths of the ``top`` best are enumerated, by the
+same jumps: the pairs written are the chosen paths themselves, nothing more. Each becomes one
+conversation.
 
 The template marks turns by role::
 
@@ -19,7 +19,8 @@ gives the text back. Loss spans are [start, end) in code points of the formatted
 string and hold each assistant text (escaped), nothing else.
 
 Defined results: null text and null role are empty; turns that tie are ordered by
-role, then text, and repeated rows stay; an empty table gives an empty result. One
+role, then text, and repeated rows stay; a parent that isn't there makes a root; messages whose
+parents run into a circle have no root and belong to no path; an empty table gives an empty result. One
 conversation becomes one string, so its rows meet in one task: that is the output
 itself. Only the named columns are read.
 """
@@ -61,26 +62,40 @@ def as_chain(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_
     return numbered.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """conv, leaf, node, up (steps from the leaf): the root-to-leaf paths of (conv, node, parent)."""
-    links = messages.select("conv", "node", "parent")
-    inner = links.filter("parent IS NOT NULL").select("conv", F.col("parent").alias("node")).distinct()
-    leaves = links.join(inner, [links.conv.eqNullSafe(inner.conv), links.node == inner.node], "left_anti")
-    found = materialize(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "leaves")
-    jumps = materialize(links.filter("parent IS NOT NULL").select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), F.col("parent").alias("above")), "jumps")
-    reach, parts, step = found, [found], 1
-    while True:
-        more = reach.join(jumps, reach.conv.eqNullSafe(F.col("_conv")) & (reach.node == F.col("_node"))).select("conv", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        more = materialize(more, "paths")
-        if not more.limit(1).count():
-            return reach
-        parts.append(more)
-        reach = parts[0]
-        for x in parts[1:]:
-            reach = reach.unionByName(x)
-        step *= 2
-        a, b = jumps.alias("a"), jumps.alias("b")
-        jumps = materialize(a.join(b, F.expr("a._conv <=> b._conv AND a.above = b._node")).select(F.col("a._conv").alias("_conv"), F.col("a._node").alias("_node"), F.col("b.above").alias("above")), "jumps")
+def jump_tables(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """conv, node, total, depth (of the path from the root) of messages that have a root, and the ancestors 1, 2, 4 ... steps up."""
+    nodes = messages.select("conv", "node", "parent", F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("depth"))
+    there = messages.select(F.col("conv").alias("_conv"), F.col("node").alias("_node"))
+    known = nodes.join(there, F.expr("conv <=> _conv AND parent = _node"), "left")
+    state = materialize(known.select("conv", "node", F.col("_node").alias("above"), "total", "depth"), "jumps")
+    most = messages.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    tables, step = [], 1
+    while step <= most and state.filter("above IS NOT NULL").limit(1).count():
+        tables.append(state)
+        a, b = state.alias("a"), state.alias("b")
+        more = a.join(b, F.expr("a.conv <=> b.conv AND a.above = b.node"), "left").select(
+            F.col("a.conv").alias("conv"), F.col("a.node").alias("node"), F.col("b.above").alias("above"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")
+        )
+        state, step = materialize(more, "jumps"), 2 * step
+    # who still has an ancestor after as many steps as there are messages is on a circle or below one
+    return state.filter("above IS NULL").select("conv", "node", "total", "depth"), tables
+
+
+def chosen_paths(messages: DataFrame, top: int) -> DataFrame:
+    """conv, rank, leaf, total, node, up (steps from the leaf): the paths of the ``top`` best leaves of each tree."""
+    scored, tables = jump_tables(messages)
+    inner = messages.filter("parent IS NOT NULL").select(F.col("conv").alias("_conv"), F.col("parent").alias("_node")).distinct()
+    leaves = scored.join(inner, F.expr("conv <=> _conv AND node = _node"), "left_anti")
+    best = Window.partitionBy("conv").orderBy(F.desc("total"), F.desc("depth"), "node")
+    ranked = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    reach = materialize(ranked.select("conv", "rank", F.col("node").alias("leaf"), "total", "node", F.lit(0).cast("long").alias("up")), "paths")
+    parts = [reach]
+    for k, table in enumerate(tables):
+        jump = table.filter("above IS NOT NULL").select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), "above")
+        more = reach.join(jump, F.expr("conv <=> _conv AND node = _node")).select("conv", "rank", "leaf", "total", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
+        parts.append(materialize(more, "paths"))
+        reach = reach.unionByName(parts[-1])
+    return reach
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -89,29 +104,18 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     ``messages``: conv, node (unique in conv), parent (null at roots), role, text, score.
     """
     messages = materialize(messages, "messages")
-    reach = paths(messages).alias("p")
-    light = messages.select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), "score")
-    scored = reach.join(light, F.expr("conv <=> _conv AND p.node = _node")).groupBy("conv", "leaf").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc("n"), "leaf")
-    chosen = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select(F.col("conv").alias("_c"), F.col("leaf").alias("_l"), "rank", F.col("score").alias("total"))
-    picked = reach.join(chosen, F.expr("conv <=> _c AND p.leaf = _l")).select("conv", "rank", "leaf", "total", "node", "up")
+    picked = chosen_paths(messages.select("conv", "node", "parent", "score"), top)
     before, behind = marks(F.col("role"))
     turns = messages.select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), before.alias("before"), escape(F.col("text")).alias("body"), behind.alias("behind"), (F.col("role") == "assistant").alias("learn"))
-    ordered = (
-        picked.join(turns, F.expr("conv <=> _conv AND node = _node"))
-        .groupBy("conv", "rank", "leaf", "total")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "before", "body", "behind", "learn"))).alias("turns"))
+    # where a text begins: what all turns before it take, by a running sum, and its own mark
+    so_far = Window.partitionBy("conv", "rank", "leaf", "total").orderBy(F.desc("up"))
+    size = F.length("before") + F.length("body") + F.length("behind")
+    placed = picked.join(turns, F.expr("conv <=> _conv AND node = _node")).withColumn("start", F.sum(size.cast("long")).over(so_far) - F.length("behind") - F.length("body"))
+    ordered = placed.groupBy("conv", "rank", "leaf", "total").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), F.concat("before", "body", "behind").alias("turn"), "learn", "start", (F.col("start") + F.length("body")).alias("end")))).alias("turns")
     )
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["before"], t["body"], t["behind"])), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def walk(acc, t):
-        begin = acc["at"] + F.length(t["before"])
-        end = begin + F.length(t["body"])
-        span = F.when(t["learn"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-        return F.struct((end + F.length(t["behind"])).alias("at"), F.concat(acc["spans"], span).alias("spans"))
-
-    return ordered.select("conv", "rank", "leaf", F.col("total").alias("score"), text.alias("formatted"), F.aggregate("turns", start, walk)["spans"].alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return ordered.select("conv", "rank", "leaf", F.col("total").alias("score"), F.array_join(F.col("turns.turn"), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
