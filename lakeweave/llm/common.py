@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Sides below this many rows of a few fixed-width columns may be broadcast.
-BROADCAST_ROWS = 20_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, for intermediate tables.
@@ -69,14 +66,11 @@ def power_of(base: int, least: int) -> tuple[int, int]:
     return n, k
 
 
-def small_or_none(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` is proven to have no more than ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with ``right`` broadcast if it has few rows, else shuffled (skew is left to AQE)."""
-    return left.join(F.broadcast(right) if small_or_none(right, limit) else right, on, how)
+def join_salted(left: DataFrame, right: DataFrame, on: Column, salt: Column, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Joins with a light side whose keys may be hot on the left: each row of ``right`` goes to all ``salts`` shares, each row of ``left`` to one."""
+    dealt = left.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    each = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(each.hint("merge"), on & (F.col("_salt") == F.col("_share")), how).drop("_salt", "_share")
 
 
 #: Rows of the light side that a task may hash.

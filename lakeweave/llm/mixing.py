@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_checked, join_dealt, materialize, shuffle_partitions, unit_hash
+from .common import WORD, join_dealt, join_salted, materialize, shuffle_partitions, unit_hash
 
 ROW = "rank long, block long, id {id_type}, size long, source_size long, target double, whole double, p double, u double"
 
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         n *= fan_in
     lookup = sources.select(F.col("source").alias("_source"), "source_size", "target", "rank", "n_docs")
     rows = (
-        join_checked(sizes, lookup, F.col("source").eqNullSafe(F.col("_source")))
+        join_salted(sizes, lookup, F.col("source").eqNullSafe(F.col("_source")), F.xxhash64("id"))
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("double"))
         .withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
         .withColumn("blocks", blocks)
@@ -157,8 +157,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     all_rows = done[0]
     for more in done[1:]:
         all_rows = all_rows.unionByName(more)
-    names = sources.select("rank", "source")
-    all_rows = join_checked(all_rows, names, "rank")
+    names = sources.select(F.col("rank").alias("_rank"), "source")
+    all_rows = join_salted(all_rows, names, F.col("rank") == F.col("_rank"), F.xxhash64("id"))
     copies = (F.col("whole") + F.col("p")).cast("long")
     return all_rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
