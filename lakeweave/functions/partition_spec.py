@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .paths import HIVE_NULL, hive_value
+from .paths import HIVE_NULL, escaped, hive_value
 from .transforms import PATTERNS, TIME, TRANSFORMS
 
 
@@ -81,7 +81,7 @@ def multi_folder_time(path: Column, names: list[str], transform: str) -> Column:
 
 def hive_path(values: dict[str, Column]) -> Column:
     """``name=value/...`` with the default partition for null."""
-    return F.concat_ws("/", *(F.concat(F.lit(f"{n}="), F.coalesce(v.cast("string"), F.lit(HIVE_NULL))) for n, v in values.items()))
+    return F.concat_ws("/", *(F.concat(F.lit(f"{n}="), F.coalesce(escaped(v.cast("string")), F.lit(HIVE_NULL))) for n, v in values.items()))
 
 
 _TOKEN = re.compile(r"\s*(?:(?P<name>[A-Za-z_][\w.]*|`[^`]*`)|(?P<text>'[^']*')|(?P<mark>[(),&])|(?P<number>\d+))")

@@ -51,7 +51,28 @@ def hudi_file_instant(path: Column) -> Column:
     return F.when(parsed != "", parsed)
 
 
+def percent_decoded(text: Column) -> Column:
+    """``%XX`` read as a byte; text that isn't so encoded stays."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)
+
+
+def percent_encoded(path: Column) -> Column:
+    """A path as URIs write it: the percent sign, spaces and what URIs don't allow are encoded."""
+    path = F.regexp_replace(path, "%", "%25")
+    for mark in ' "<>\\^`{|}#?[]':
+        path = F.replace(path, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    return path
+
+
+def escaped(value: Column) -> Column:
+    """A partition value as folder names write it: what file systems and Hive don't allow is encoded."""
+    value = F.regexp_replace(value, "%", "%25")
+    for mark in "\"#'*/:=?\\{[]^\x7f":
+        value = F.replace(value, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    return value
+
+
 def hive_value(folder: Column) -> Column:
-    """The value of a partition folder: behind ``name=`` if that is there, null for the default partition."""
+    """The value of a partition folder: behind ``name=`` if that is there, decoded, null for the default partition."""
     value = F.regexp_replace(folder, "^[^=/]+=", "")
-    return F.when(value != HIVE_NULL, value)
+    return F.when(value != HIVE_NULL, percent_decoded(value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,10 @@ from lakeweave.functions.transforms import TIME
 from lakeweave.sources import registry
 from lakeweave.sources.model import ReadError
 
-#: Files up to this many are joined as a broadcast side.
-BROADCAST_FILES = 100_000
+#: Folders (or files) whose partition values are broadcast to one scan; more make more scans, never a shuffle of rows.
+SCAN_KEYS = 100_000
+#: Folder trees that are scans of their own.
+ROOTS = 32
 
 
 def _physical(schema: T.StructType) -> T.StructType:
@@ -61,36 +65,86 @@ def read(spark: SparkSession, fmt: str, base: str, version: str | None = None, a
         version = source.version_at(as_of)
         if version is None:
             raise ReadError(f"{base} has no commit at or before {as_of}")
+    if hasattr(source, "check_rows"):
+        source.check_rows(version)
     snapshot = source.snapshot(version) if version is not None else source.snapshot()
     table = snapshot.table
     files = skip(prune(snapshot.files, partitions), bounds, table.schema)
     return read_files(spark, table, files)
 
 
-def read_files(spark: SparkSession, table, files: DataFrame) -> DataFrame:
-    rows = files.select("path", "format", "part").persist()
-    try:
-        listed = [(r["path"], r["format"]) for r in rows.select("path", "format").toLocalIterator()]  # the scan's own file list
-        plain = [f for f in table.partitions if f.transform not in TIME and f.transform != "BUCKET"]
-        out = None
-        for fmt in sorted({k for _, k in listed}):
-            scan = spark.read.schema(_physical(table.schema)).format({"PARQUET": "parquet", "ORC": "orc"}[fmt]).load([p for p, k in listed if k == fmt])
+def plain_path(path: str) -> str:
+    """A path that Spark takes as it is: marks of patterns are escaped."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def layout(files: DataFrame, base: str, names: list[str], values: list[Column]) -> DataFrame:
+    """path, format, root, cells: ``root`` is where ``name=value`` folders begin that say just the partition values, else null."""
+    folder = P.partition_path(F.col("path"), P.canonical(F.lit(base)))
+    tree = "/".join(f"{re.escape(n)}=[^/]*" for n in names)
+    said = F.split(F.regexp_extract(folder, f"^(?:.*/)?({tree})$", 1), "/")
+    inside = F.startswith(F.col("path"), F.concat(P.canonical(F.lit(base)), F.lit("/")))
+    agree = inside & folder.rlike(f"^(.*/)?{tree}$")
+    for k, v in enumerate(values):
+        agree &= P.hive_value(F.get(said, F.lit(k))).eqNullSafe(v)
+    root = F.when(agree, F.regexp_replace(folder, f"(^|/){tree}$", ""))
+    return files.select("path", "format", root.alias("root"), F.array(*[v.cast("string") for v in values]).alias("cells"))
+
+
+def read_files(spark: SparkSession, table, files: DataFrame, with_path: bool = False) -> DataFrame:
+    """The rows of a table's files; with ``with_path`` also ``_lw_file``, the canonical path of a row's file.
+
+    Where folders say the partition values, they are Spark's own partition columns, so that
+    ordinary filters prune files. Else they come from a broadcast table of folders, SCAN_KEYS
+    to a scan: rows are never shuffled to get them.
+    """
+    physical = _physical(table.schema)
+    plain = [(p.name, f) for f in table.partitions if f.transform not in TIME and f.transform != "BUCKET" for p, x in zip(physical.fields, table.schema.fields) if x.name == f.path]
+    rows = layout(files, table.base, [n for n, _ in plain], [F.col("part")[f.path] for _, f in plain]) if plain else files.select("path", "format", F.lit(None).cast("string").alias("root"), F.array().cast("array<string>").alias("cells"))
+    listed = [(r["path"], r["format"], r["root"], tuple(r["cells"])) for r in rows.toLocalIterator()]  # the scan's own file list
+    roots = {(k, root) for _, k, root, _ in listed if root is not None}
+    native = roots if len(roots) <= ROOTS else set()
+    kinds = {"PARQUET": "parquet", "ORC": "orc"}
+    here = P.canonical(P.percent_decoded(F.col("_metadata.file_path")))
+    scans = []
+
+    def scan(fmt: str, paths: list[str], root: str | None = None) -> DataFrame:
+        if fmt not in kinds:
+            raise ReadError(f"{fmt} files can't be read")
+        reader = spark.read.schema(physical).format(kinds[fmt])
+        if root is not None:
+            reader = reader.option("basePath", plain_path(f"{table.base}/{root}".rstrip("/")))
+        found = reader.load([plain_path(p) for p in paths])
+        return found.withColumn("_lw_file", here) if with_path or plain and root is None else found
+
+    for fmt, root in sorted(native):
+        scans.append(scan(fmt, [p for p, k, at, _ in listed if (k, at) == (fmt, root)], root))
+    rest: dict[str, dict[str, list]] = {}
+    for path, fmt, root, cells in listed:
+        if (fmt, root) not in native:
+            folder = path.rsplit("/", 1)[0] if plain else ""
+            rest.setdefault(fmt, {}).setdefault(folder, []).append((path, cells))
+    for fmt, folders in sorted(rest.items()):
+        # (key, cells, paths): folders whose files agree, and single files of the others
+        agreed = [(folder, own[0][1], [p for p, _ in own]) for folder, own in folders.items() if len({c for _, c in own}) == 1]
+        single = [(p, c, [p]) for own in folders.values() if len({c for _, c in own}) > 1 for p, c in own]
+        for keys, lo in [(keys, lo) for keys in (agreed, single) for lo in range(0, len(keys), SCAN_KEYS)]:
+            part = keys[lo : lo + SCAN_KEYS]
+            found = scan(fmt, [p for _, _, paths in part for p in paths])
             if plain:
-                scan = scan.withColumn("_lw_path", P.canonical(F.col("_metadata.file_path")))
-            out = scan if out is None else out.unionByName(scan)
-        if out is None:
-            return spark.createDataFrame([], table.schema)
-        if plain:
-            # paths percent-encode what Spark's metadata column encodes
-            known = spark.createDataFrame(rows.select(F.col("path").alias("_lw_key"), *[F.col("part")[f.path].alias(f"_lw_{k}") for k, f in enumerate(plain)]).collect() if len(listed) <= BROADCAST_FILES else [], "_lw_key string, " + ", ".join(f"_lw_{k} string" for k in range(len(plain)))) if len(listed) <= BROADCAST_FILES else rows.select(F.col("path").alias("_lw_key"), *[F.col("part")[f.path].alias(f"_lw_{k}") for k, f in enumerate(plain)])
-            side = F.broadcast(known) if len(listed) <= BROADCAST_FILES else known
-            out = out.join(side, F.url_decode(F.regexp_replace("_lw_path", r"\+", "%2B")) == F.url_decode(F.regexp_replace("_lw_key", r"\+", "%2B")), "left")
-            for k, f in enumerate(plain):
-                name = next(((x.metadata or {}).get("storage_name", x.name) for x in table.schema.fields if x.name == f.path), f.path)
-                if name in out.columns:
-                    kind = table.schema[f.path].dataType
-                    out = out.withColumn(name, F.coalesce(F.col(name), F.col(f"_lw_{k}").cast(kind)))
-        physical = _physical(table.schema)
-        return out.select(*[F.col(p.name).cast(f.dataType).alias(f.name) for p, f in zip(physical.fields, table.schema.fields)])
-    finally:
-        rows.unpersist()
+                columns = ", ".join(f"_lw_{k} string" for k in range(len(plain)))
+                known = spark.createDataFrame([(key, *cells) for key, cells, _ in part], f"_lw_key string, {columns}")
+                own = F.col("_lw_file") if keys is single else F.regexp_replace("_lw_file", "/[^/]*$", "")
+                found = found.join(F.broadcast(known), F.col("_lw_key") == own, "left")
+                for k, (name, f) in enumerate(plain):
+                    found = found.withColumn(name, F.coalesce(F.col(name), F.col(f"_lw_{k}").cast(table.schema[f.path].dataType)))
+            scans.append(found)
+    more = ["_lw_file"] if with_path else []
+    if not scans:
+        empty = spark.createDataFrame([], table.schema)
+        return empty.withColumn("_lw_file", F.lit(None).cast("string")) if with_path else empty
+    columns = [F.col(p.name).cast(f.dataType).alias(f.name) for p, f in zip(physical.fields, table.schema.fields)]
+    out = scans[0].select(*columns, *more)
+    for found in scans[1:]:
+        out = out.unionByName(found.select(*columns, *more))
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -43,19 +44,30 @@ class DeltaLog:
     def versions(self) -> list[int]:
         return sorted(int(n[:20]) for n in self.store.names(LOG) if len(n) == 25 and n.endswith(".json"))
 
+    def numbers(self, as_of: int | None = None, after: int | None = None) -> list[int]:
+        """The versions behind ``after`` (or all) up to ``as_of``; a gap in them is an error."""
+        found = [v for v in self.versions() if (as_of is None or v <= as_of) and (after is None or v > after)]
+        first = 0 if after is None else after + 1
+        if as_of is not None and (found[-1] if found else first - 1) < as_of:
+            raise ReadError(f"{self.base}: version {as_of} isn't in the log")
+        if found and found != list(range(first, first + len(found))):
+            raise ReadError(f"{self.base}: versions are missing from the log, and no checkpoint that can be read stands for them")
+        return found
+
     def checkpoint(self, as_of: int | None = None) -> tuple[int, list[str]] | None:
         """The latest complete checkpoint up to ``as_of``: its version and files."""
-        found: dict[int, list[str]] = {}
+        found: dict[tuple[int, int], list[str]] = {}
         for n in self.store.names(LOG):
-            if ".checkpoint" in n and n.endswith(".parquet"):
-                found.setdefault(int(n[:20]), []).append(n)
-        whole = [v for v, names in found.items() if (as_of is None or v <= as_of) and (len(names[0].split(".")) == 3 or len(names) == int(names[0].split(".")[3]))]
-        return (max(whole), [self.store.uri(f"{LOG}/{n}") for n in found[max(whole)]]) if whole else None
+            # one file, or parts; checkpoints with a UUID in their name (V2) have another content and are passed over
+            if m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet", n):
+                found.setdefault((int(m[1]), int(m[3] or 1)), []).append(n)
+        whole = [(v, parts) for (v, parts), names in found.items() if len(names) == parts and (as_of is None or v <= as_of)]
+        return (max(whole)[0], [self.store.uri(f"{LOG}/{n}") for n in found[max(whole)]]) if whole else None
 
     def actions(self, as_of: int | None = None, only: int | None = None) -> DataFrame:
         """version and the action columns: of one commit, or of all from the latest checkpoint on."""
         start = None if only is not None else self.checkpoint(as_of)
-        numbers = [only] if only is not None else [v for v in self.versions() if (as_of is None or v <= as_of) and (start is None or v > start[0])]
+        numbers = [only] if only is not None else self.numbers(as_of, start[0] if start else None) if start is None or as_of is None or as_of > start[0] else []
         out = None
         if numbers:
             lines = self.spark.read.text([self.store.uri(version_name(v)) for v in numbers])
@@ -76,7 +88,7 @@ class DeltaLog:
             "version",
             is_add.cast("int").alias("position"),
             F.when(is_add, "add").otherwise("remove").alias("op"),
-            P.canonical(full(F.coalesce("add.path", "remove.path"))).alias("path"),
+            P.canonical(full(P.percent_decoded(F.coalesce("add.path", "remove.path")))).alias("path"),
             (is_add & F.col("add.deletionVector").isNotNull()).alias("has_vector"),
             F.col("add.partitionValues").alias("values"),
             F.col("add.size").alias("size"),
@@ -99,17 +111,32 @@ class DeltaLog:
     def timestamp(self, version: int) -> int:
         return self.info(version).get("timestamp") or self.store.modified(version_name(version))
 
+    def commits(self) -> DataFrame:
+        """version, ts of all commits in the log: a distributed scan for ``commitInfo``, else the file's time."""
+        numbers = self.versions()
+        if not numbers:
+            return self.spark.createDataFrame([], "version long, ts long")
+        lines = self.spark.read.text([self.store.uri(version_name(v)) for v in numbers])
+        version = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long")
+        said = F.when(F.col("value").contains('"commitInfo"'), F.get_json_object("value", "$.commitInfo.timestamp").cast("long"))
+        return lines.select(version.alias("version"), said.alias("ts"), F.unix_millis("_metadata.file_modification_time").alias("at")).groupBy("version").agg(F.coalesce(F.max("ts"), F.max("at")).alias("ts"))
+
 
 def partition_fields(schema_text: str, columns: list[str]) -> list[PartitionField]:
     generated = {f["name"]: f.get("metadata", {}).get(S.GENERATION) for f in json.loads(schema_text)["fields"]}
     return fold_generated([(c, generated.get(c)) for c in columns])
 
 
-def values_to_part(values: Column, fields) -> Column:
+def physical_names(schema_text: str) -> dict[str, str]:
+    """What files and partition values call the top-level columns, where columns are mapped."""
+    return {f["name"]: f["metadata"]["delta.columnMapping.physicalName"] for f in json.loads(schema_text)["fields"] if "delta.columnMapping.physicalName" in f.get("metadata", {})}
+
+
+def values_to_part(values: Column, fields, physical: dict[str, str] | None = None) -> Column:
     """Delta's partition strings to canonical values."""
     out = []
     for f in fields:
-        names = f.names or (f.path,)
+        names = [(physical or {}).get(n, n) for n in f.names or (f.path,)]
         cells = [values[n] for n in names]
         if f.transform in X.TIME:
             text = X.composite(cells) if len(cells) > 1 else cells[0]
@@ -140,14 +167,16 @@ class DeltaSource:
     def table_at(self, version=None) -> Table:
         v = self._version(version)
         m = self.log.metadata(v)
-        return Table(m["name"] or self.name, self.format, self.base, S.from_delta(m["schemaString"]), tuple(partition_fields(m["schemaString"], m["partitionColumns"] or [])), self.log.timestamp(v), str(v), properties=dict(m["configuration"] or {}))
+        fields = tuple(partition_fields(m["schemaString"], m["partitionColumns"] or []))
+        self.physical, self.reader_version = physical_names(m["schemaString"]), m["protocol"]["minReaderVersion"] if m["protocol"] else 1
+        return Table(m["name"] or self.name, self.format, self.base, S.from_delta(m["schemaString"]), fields, self.log.timestamp(v), str(v), properties=dict(m["configuration"] or {}))
 
     current_table = table_at
 
     def _as_files(self, rows: DataFrame, table: Table) -> DataFrame:
         records = F.get_json_object("stats", "$.numRecords").cast("long")
         kind = F.upper(F.regexp_extract("path", r"\.(\w+)$", 1))
-        return rows.select("path", kind.alias("format"), "size", records.alias("rows"), "mtime", values_to_part(F.col("values"), table.partitions).alias("part"), "stats")
+        return rows.select("path", kind.alias("format"), "size", records.alias("rows"), "mtime", values_to_part(F.col("values"), table.partitions, self.physical).alias("part"), "stats")
 
     def snapshot(self, version=None) -> Snapshot:
         v = self._version(version)
@@ -155,19 +184,26 @@ class DeltaSource:
         live = timeline.replay(self.log.changes(self.log.actions(v)))
         return Snapshot(table, self._as_files(live, table), (), str(v))
 
+    def check_rows(self, version=None) -> None:
+        """Raises if rows of a live file are deleted by a vector: its rows can't be read as they are."""
+        v = self._version(version)
+        self.table_at(v)
+        if self.reader_version >= 3 and timeline.replay(self.log.changes(self.log.actions(v))).filter("has_vector").limit(1).count():
+            raise ReadError(f"{self.base} has deletion vectors, which aren't applied here")
+
     def change(self, version) -> Change:
         table = self.table_at(version)
         rows = timeline.cancel_vectors(self.log.changes(self.log.actions(only=int(version))))
         return Change(table, self._as_files(rows.filter("op = 'add'"), table), self._as_files(rows.filter("op = 'remove'"), table), str(version))
 
     def backlog(self, since: int, pending=()) -> tuple[list[str], tuple[int, ...]]:
-        return [str(v) for v in self.log.versions() if self.log.timestamp(v) > since], ()
+        return [str(r["version"]) for r in timeline.after(self.log.commits(), F.lit(since)).orderBy("version").collect()], ()
 
     def version_at(self, instant: int) -> int | None:
-        return max((v for v in self.log.versions() if self.log.timestamp(v) <= instant), default=None)
+        return self.log.commits().filter(F.col("ts") <= instant).agg(F.max("version")).first()[0]
 
     def safe_from(self, instant: int) -> bool:
-        return self.version_at(instant) is not None
+        return timeline.safe_from_versions(self.log.commits(), F.lit(instant)).first()["safe"]
 
     def identifier(self, version: str) -> str:
         return str(version)
@@ -176,9 +212,9 @@ class DeltaSource:
 class DeltaTarget:
     format = "DELTA"
 
-    def __init__(self, spark: SparkSession, base: str, name: str = "table", retention_hours: int = 168, checkpoint_every: int = 10, **_):
+    def __init__(self, spark: SparkSession, base: str, name: str = "table", retention_hours: int = 168, checkpoint_every: int = 10, checkpoint_rows: int = 1_000_000, **_):
         self.spark, self.base, self.name = spark, base.rstrip("/"), name
-        self.retention_hours, self.checkpoint_every = retention_hours, checkpoint_every
+        self.retention_hours, self.checkpoint_every, self.checkpoint_rows = retention_hours, checkpoint_every, checkpoint_rows
         self.log = DeltaLog(spark, base)
 
     def exists(self) -> bool:
@@ -201,22 +237,29 @@ class DeltaTarget:
     def _adds(self, files: DataFrame, table: Table) -> DataFrame:
         rel = P.relative(F.col("path"), P.canonical(F.lit(self.base)))
         inside = F.startswith(P.without_scheme(F.col("path")), P.without_scheme(F.lit(self.base + "/")))
-        add = F.struct(F.when(inside, rel).otherwise(F.col("path")).alias("path"), part_to_values(F.col("part"), table.partitions).alias("partitionValues"), "size", F.col("mtime").alias("modificationTime"), F.lit(True).alias("dataChange"), "stats")
+        add = F.struct(P.percent_encoded(F.when(inside, rel).otherwise(F.col("path"))).alias("path"), part_to_values(F.col("part"), table.partitions).alias("partitionValues"), "size", F.col("mtime").alias("modificationTime"), F.lit(True).alias("dataChange"), "stats")
         return files.select(F.lit(2).alias("rank"), F.to_json(F.struct(add.alias("add")), {"ignoreNullFields": "false"}).alias("value"))
 
     def _removes(self, files: DataFrame, now: int) -> DataFrame:
         rel = P.relative(F.col("path"), P.canonical(F.lit(self.base)))
         inside = F.startswith(P.without_scheme(F.col("path")), P.without_scheme(F.lit(self.base + "/")))
-        remove = F.struct(F.when(inside, rel).otherwise(F.col("path")).alias("path"), F.lit(now).cast("long").alias("deletionTimestamp"), F.lit(True).alias("dataChange"))
+        remove = F.struct(P.percent_encoded(F.when(inside, rel).otherwise(F.col("path"))).alias("path"), F.lit(now).cast("long").alias("deletionTimestamp"), F.lit(True).alias("dataChange"))
         return files.select(F.lit(3).alias("rank"), F.to_json(F.struct(remove.alias("remove"))).alias("value"))
 
     def live(self) -> DataFrame:
         return timeline.replay(self.log.changes(self.log.actions())).select("path")
 
-    def commit(self, table: Table, state: SyncState, added: DataFrame, removed: DataFrame, mode: str) -> int:
-        """One commit: schema and partitions, state, removed and added files."""
+    def commit(self, table: Table, state: SyncState, added: DataFrame, removed: DataFrame, mode: str, read_version: int | None = None) -> int:
+        """One commit: schema and partitions, state, removed and added files.
+
+        ``read_version`` is the version that the change was made from (-1: no table); the
+        commit is the next one, or a Conflict. Without it the change holds on any version.
+        """
         versions = self.log.versions()
-        version, now = (versions[-1] + 1 if versions else 0), int(time.time() * 1000)
+        latest, now = (versions[-1] if versions else -1), int(time.time() * 1000)
+        if read_version is not None and read_version != latest:
+            raise Conflict(f"version {read_version} was read, but {latest} is committed by now")
+        version = latest + 1
         before = self.log.metadata() if versions else {}
         schema, names = self._schema(table)
         config = dict(before.get("configuration") or {}) | {STATE_KEY: state.to_json(), "delta.logRetentionDuration": f"interval {self.retention_hours} hours"}
@@ -240,9 +283,14 @@ class DeltaTarget:
         files = files.persist()
         try:
             if self.exists():
-                live = self.live()
-                return self.commit(table, state, ops.added(files, live), ops.removed(files, live), "FULL")
-            return self.commit(table, state, files, files.limit(0), "FULL")
+                read = self.log.versions()[-1]
+                live = self.live().persist()
+                try:
+                    found = ops.diff(files, live).persist()
+                    return self.commit(table, state, files.join(found.filter("op = 'add'"), "path", "left_semi"), found.filter("op = 'remove'").select("path"), "FULL", read)
+                finally:
+                    live.unpersist()
+            return self.commit(table, state, files, files.limit(0), "FULL", -1)
         finally:
             files.unpersist()
 
@@ -255,7 +303,8 @@ class DeltaTarget:
         actions = self.log.actions(version)
         meta = self.log.metadata(version)
         paths = timeline.replay(self.log.changes(actions)).select(F.col("path").alias("_live"))
-        full = F.when(F.col("add.path").rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/)"), F.col("add.path")).otherwise(F.concat(F.lit(self.base + "/"), F.col("add.path")))
+        plain = P.percent_decoded(F.col("add.path"))
+        full = F.when(plain.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/)"), plain).otherwise(F.concat(F.lit(self.base + "/"), plain))
         adds = actions.filter("add IS NOT NULL").withColumn("_live", P.canonical(full)).join(paths, "_live", "left_semi")
         adds = adds.groupBy("_live").agg(F.max_by("add", "version").alias("add")).select("add")
         p = meta.pop("protocol")
@@ -263,12 +312,17 @@ class DeltaTarget:
         kinds = {x.name: x.dataType for x in T.StructType.fromDDL(ACTIONS)}
         head = self.spark.createDataFrame(row, T.StructType([T.StructField("add", kinds["add"]), T.StructField("metaData", kinds["metaData"]), T.StructField("protocol", kinds["protocol"])]))
         folder = f"{LOG}/.{uuid.uuid4().hex}.tmp"
-        head.unionByName(adds, allowMissingColumns=True).coalesce(1).write.parquet(self.log.store.uri(folder))
-        part = next(n for n in self.log.store.names(folder) if n.startswith("part-"))
+        count = adds.count()
+        parts = max(1, -(-count // self.checkpoint_rows))
+        head.unionByName(adds, allowMissingColumns=True).repartition(parts).write.parquet(self.log.store.uri(folder))
+        written = [n for n in self.log.store.names(folder) if n.startswith("part-")]
         store = self.log.store
-        store._place(store._path(f"{folder}/{part}"), store._path(f"{LOG}/{version:020d}.checkpoint.parquet"), True)
+        for k, part in enumerate(written, 1):
+            name = f"{version:020d}.checkpoint.parquet" if len(written) == 1 else f"{version:020d}.checkpoint.{k:010d}.{len(written):010d}.parquet"
+            store.place(f"{folder}/{part}", f"{LOG}/{name}", True)
         store.delete(folder)
-        store.write(f"{LOG}/_last_checkpoint", json.dumps({"version": version, "size": adds.count() + 2}), overwrite=True)
+        hint = {"version": version, "size": count + 2} | ({"parts": len(written)} if len(written) > 1 else {})
+        store.write(f"{LOG}/_last_checkpoint", json.dumps(hint), overwrite=True)
 
     def target_version_of(self, source_id: str) -> str | None:
         """The version that wrote a source commit, looked for from the newest on."""

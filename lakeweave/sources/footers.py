@@ -64,12 +64,14 @@ def chunks(paths: DataFrame) -> DataFrame:
 
 
 def merge_row_groups(chunk_rows: DataFrame, kind: str = "double") -> DataFrame:
-    """Row groups folded per file and column: sums, and least and greatest of chunks that have them.
+    """Row groups folded per file and column: sums, and least and greatest; none where a chunk with values has no bounds.
 
     ``kind`` is the type in which bounds compare (``double``, ``string``, ...).
     """
     low, high = (F.from_json(F.concat(F.lit('{"v":'), F.col(c), F.lit("}")), f"v {kind}")["v"] for c in ("low", "high"))
-    return chunk_rows.groupBy("path", "column").agg(F.sum("num_values").alias("num_values"), F.sum("nulls").alias("nulls"), F.sum("bytes").alias("bytes"), F.min(low).alias("low"), F.max(high).alias("high"))
+    unknown = F.max((F.col("low").isNull() & (F.coalesce("nulls", F.lit(-1)) < F.col("rows"))).cast("int")) == 1
+    sums = [F.sum("num_values").alias("num_values"), F.sum("nulls").alias("nulls"), F.sum("bytes").alias("bytes")]
+    return chunk_rows.groupBy("path", "column").agg(*sums, F.when(~unknown, F.min(low)).alias("low"), F.when(~unknown, F.max(high)).alias("high"))
 
 
 def record_count(chunk_rows: DataFrame) -> DataFrame:
@@ -90,17 +92,22 @@ def file_stats(paths: DataFrame) -> DataFrame:
                 store, name = open_uri(path)
                 meta = pq.read_metadata(store.open_input_file(name))
                 low, high, nulls = {}, {}, {}
+                unknown, uncounted = set(), set()  # columns with a row group that doesn't say
                 for g in range(meta.num_row_groups):
                     for c in range(meta.num_columns):
                         chunk = meta.row_group(g).column(c)
                         stats, key = chunk.statistics, column_name(chunk.path_in_schema)
-                        if stats is None:
-                            continue
-                        if stats.has_null_count:
+                        if stats is None or not stats.has_null_count:
+                            uncounted.add(key)
+                        else:
                             nulls[key] = nulls.get(key, 0) + stats.null_count
-                        if stats.has_min_max and not isinstance(stats.min, bytes):
+                        if stats is not None and stats.has_min_max and not isinstance(stats.min, bytes) and plain(stats.min) is not None and plain(stats.max) is not None:
                             low[key] = stats.min if key not in low else min(low[key], stats.min)
                             high[key] = stats.max if key not in high else max(high[key], stats.max)
+                        elif stats is None or not stats.has_null_count or stats.null_count < meta.row_group(g).num_rows:
+                            unknown.add(key)  # it has values, but no bounds for them
+                low, high = ({k: v for k, v in side.items() if k not in unknown} for side in (low, high))
+                nulls = {k: v for k, v in nulls.items() if k not in uncounted}
                 names.append(path)
                 rows.append(meta.num_rows)
                 texts.append(stats_json(meta.num_rows, low, high, nulls))

@@ -41,15 +41,15 @@ def from_instant(text: str) -> int:
 
 
 def key_generator(fields: list[PartitionField], keys: list[str]) -> str:
-    """The key generator that a spec asks for."""
+    """The type of key generator that a spec asks for."""
     if any(f.transform == "BUCKET" for f in fields):
         raise PartitionError("bucket partitions can't be written to Hudi")
     if not fields:
-        return "org.apache.hudi.keygen.NonpartitionedKeyGenerator"
+        return "NON_PARTITION"
     timed = [f for f in fields if f.transform in TIME]
     if len(fields) == 1:
-        return "org.apache.hudi.keygen.TimestampBasedKeyGenerator" if timed else "org.apache.hudi.keygen.SimpleKeyGenerator" if len(keys) <= 1 else "org.apache.hudi.keygen.ComplexKeyGenerator"
-    return "org.apache.hudi.keygen.CustomKeyGenerator" if timed else "org.apache.hudi.keygen.ComplexKeyGenerator"
+        return "TIMESTAMP" if timed else "SIMPLE" if len(keys) <= 1 else "COMPLEX"
+    return "CUSTOM" if timed else "COMPLEX"
 
 
 class Timeline:
@@ -266,7 +266,7 @@ class HudiTarget:
         props = {
             "hoodie.table.name": table.name, "hoodie.table.type": "COPY_ON_WRITE", "hoodie.table.version": "6", "hoodie.timeline.layout.version": "1", "hoodie.populate.meta.fields": "false",
             "hoodie.table.base.file.format": "PARQUET", "hoodie.table.partition.fields": ",".join(f.path for f in table.partitions), "hoodie.table.recordkey.fields": ",".join(table.record_keys),
-            "hoodie.table.keygenerator.class": key_generator(list(table.partitions), list(table.record_keys)), "hoodie.datasource.write.hive_style_partitioning": "true",
+            "hoodie.table.keygenerator.type": key_generator(list(table.partitions), list(table.record_keys)), "hoodie.datasource.write.hive_style_partitioning": "true",
             "hoodie.table.create.schema": json.dumps(S.to_avro(table.schema)), "lakeweave.partition.spec": spec,
         }
         self.line.store.write(f"{HOODIE}/hoodie.properties", "".join(f"{k}={v}\n" for k, v in props.items()))

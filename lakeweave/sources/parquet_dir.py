@@ -10,6 +10,8 @@ from lakeweave.functions.partition_spec import parse_spec, path_millis, path_val
 from lakeweave.functions.schema import from_arrow
 from lakeweave.functions.transforms import TIME
 
+from lakeweave.operators import timeline
+
 from .footers import file_stats
 from .model import Change, ReadError, Snapshot, Table
 from .storage import open_uri
@@ -69,8 +71,7 @@ class ParquetSource:
         return Change(self._table(listed), files, files.limit(0), since)
 
     def safe_from(self, instant: int) -> bool:
-        first = listing(self.spark, self.base).agg(F.min("mtime")).first()[0]
-        return first is not None and first <= instant
+        return timeline.safe_from_earliest(listing(self.spark, self.base), F.lit(instant)).first()["safe"]
 
     def identifier(self, version: str) -> str:
         return version
