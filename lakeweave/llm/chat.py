@@ -2,7 +2,8 @@
 
 Messages form trees: each names its parent. Self-joins double what is known: after round
 ``k`` a message knows its ancestor ``2 ** k`` steps up and the sum of the scores until there,
-so sums over paths of ``d`` messages take ``log2 d`` rounds of one row a message. Leaves are
+so sums over paths of ``d`` messages take ``log2 d`` rounds of the messages that are
+deeper than what is known. Leaves are
 found by an anti-join and ranked in their tree by the sum of their path's scores (ties: the
 longer, then the smaller leaf). Only then the paths of the ``top`` best are enumerated, by the
 same jumps: the pairs written are the chosen paths themselves, nothing more. Each becomes one
@@ -69,16 +70,18 @@ def jump_tables(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = nodes.join(there, F.expr("conv <=> _conv AND parent = _node"), "left")
     state = materialize(known.select("conv", "node", F.col("_node").alias("above"), "total", "depth"), "jumps")
     most = messages.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    tables, step = [], 1
-    while step <= most and state.filter("above IS NOT NULL").limit(1).count():
-        tables.append(state)
-        a, b = state.alias("a"), state.alias("b")
-        more = a.join(b, F.expr("a.conv <=> b.conv AND a.above = b.node"), "left").select(
-            F.col("a.conv").alias("conv"), F.col("a.node").alias("node"), F.col("b.above").alias("above"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")
+    # only messages that haven't reached their root yet go through another round
+    done, open_, tables, step = state.filter("above IS NULL"), state.filter("above IS NOT NULL"), [], 1
+    while step <= most and open_.limit(1).count():
+        tables.append(open_)
+        a, b = open_.alias("a"), done.unionByName(open_).alias("b")
+        more = a.join(b, F.expr("a.conv <=> b.conv AND a.above = b.node")).select(
+            F.col("a.conv").alias("conv"), F.col("a.node").alias("node"), F.col("b.above").alias("above"), (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.depth") + F.col("b.depth")).alias("depth")
         )
         state, step = materialize(more, "jumps"), 2 * step
+        done, open_ = done.unionByName(state.filter("above IS NULL")), state.filter("above IS NOT NULL")
     # who still has an ancestor after as many steps as there are messages is on a circle or below one
-    return state.filter("above IS NULL").select("conv", "node", "total", "depth"), tables
+    return done.select("conv", "node", "total", "depth"), tables
 
 
 def chosen_paths(messages: DataFrame, top: int) -> DataFrame:
@@ -91,7 +94,7 @@ def chosen_paths(messages: DataFrame, top: int) -> DataFrame:
     reach = materialize(ranked.select("conv", "rank", F.col("node").alias("leaf"), "total", "node", F.lit(0).cast("long").alias("up")), "paths")
     parts = [reach]
     for k, table in enumerate(tables):
-        jump = table.filter("above IS NOT NULL").select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), "above")
+        jump = table.select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), "above")
         more = reach.join(jump, F.expr("conv <=> _conv AND node = _node")).select("conv", "rank", "leaf", "total", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
         parts.append(materialize(more, "paths"))
         reach = reach.unionByName(parts[-1])
