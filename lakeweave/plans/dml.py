@@ -37,9 +37,9 @@ class LakeTable:
         folder = f"{self.base}/data/{uuid.uuid4().hex}"
         writer = rows.write
         (writer.partitionBy(*self.by) if self.by else writer).parquet(folder)
-        if rows.sparkSession.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder).limit(1).count() == 0 and not self.by:
+        if not listing(self.spark, folder).limit(1).count():
             return self._none()
-        return ParquetSource(self.spark, folder, partition_spec=",".join(f"{c}:VALUE" for c in self.by)).snapshot().files
+        return ParquetSource(self.spark, folder, partition_spec=",".join(f"{c}:VALUE" for c in self.by)).snapshot().files.filter("rows > 0")
 
     def _table(self, schema: T.StructType) -> Table:
         return Table(self.name, "DELTA", self.base, schema, tuple(PartitionField(c) for c in self.by))
@@ -162,7 +162,14 @@ class LakeTable:
             numeric = [c for c in columns if not isinstance(rows.schema[c].dataType, T.StringType)]
             shares = [k / (1 << bits) for k in range(1, 1 << bits)]
             cuts = rows.select(*[F.percentile_approx(F.col(c).cast("double"), shares).alias(c) for c in numeric]).first() if numeric else {}
-            ranks = [F.size(F.filter(F.array(*[F.lit(q) for q in sorted(set(cuts[c] or []))]), lambda q, c=c: q <= F.col(c).cast("double"))) if c in numeric else F.pmod(F.hash(c), F.lit(1 << bits)) for c in columns]
+
+            def rank(c: str) -> Column:
+                if c not in numeric:
+                    return F.pmod(F.hash(c), F.lit(1 << bits))
+                steps = F.array(*[F.lit(q) for q in sorted(set(cuts[c] or []))]).cast("array<double>")
+                return F.size(F.filter(steps, lambda q: q <= F.col(c).cast("double")))
+
+            ranks = [rank(c) for c in columns]
             z = F.lit(0).cast("long")
             for b in range(bits):
                 for j, r in enumerate(ranks):

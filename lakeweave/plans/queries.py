@@ -22,7 +22,7 @@ from lakeweave.operators import files as ops
 from lakeweave.operators import timeline as line
 from lakeweave.plans.controller import SyncConfig, sync
 from lakeweave.plans.dml import LakeTable
-from lakeweave.sources import footers
+from lakeweave.sources import footers, registry
 from lakeweave.sources.workdir import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +205,187 @@ def e2e_delta_to_iceberg(spark, sf_dir):
     return reader.read(spark, "ICEBERG", base)
 
 
+# several writers, many commits, other layouts
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN -2 WHEN o_orderkey % 6 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders")
+def e2e_interleaved_upserts(spark, sf_dir):
+    """One upsert commits while another has read the table and not written yet: both hold, the later one last."""
+    def make(base: str) -> None:
+        o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        first, second = LakeTable(spark, base, "orders"), LakeTable(spark, base, "orders")
+        first.append(o)
+        write, done = second._write, []
+
+        def slow(rows):
+            if not done:
+                done.append(first.upsert(o.filter("o_orderkey % 6 = 0").withColumn("o_custkey", F.lit(-1).cast("long")), ["o_orderkey"]))
+            return write(rows)
+
+        second._write = slow
+        second.upsert(o.filter("o_orderkey % 4 = 0").withColumn("o_custkey", F.lit(-2).cast("long")), ["o_orderkey"])
+
+    return LakeTable(spark, once(spark, ("interleaved", sf_dir), make), "orders").read()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_custkey END AS customer FROM orders WHERE o_orderkey % 3 <> 0")
+def e2e_update_rename(spark, sf_dir):
+    """Update, dropped and renamed column, z-order and vacuum."""
+    def make(base: str) -> None:
+        t = LakeTable(spark, base, "orders")
+        t.append(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+        t.delete(F.col("o_orderkey") % 3 == 0)
+        t.update(F.col("o_orderkey") % 5 == 0, o_custkey=F.lit(0))
+        t.drop_columns("o_orderpriority")
+        t.rename_column("o_custkey", "customer")
+        t.z_order(["o_orderkey", "customer"], 4)
+        t.vacuum(0)
+
+    return LakeTable(spark, once(spark, ("update", sf_dir), make), "orders").read()
+
+
+_MARKS = {"F": "a b", "O": "c/d=e%20f", "P": "\u00e9{x}[y]*"}
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'a b' WHEN 'O' THEN 'c/d=e%20f' ELSE '\u00e9{x}[y]*' END AS mark FROM orders")
+def e2e_odd_partition_values(spark, sf_dir):
+    """Partition values with what paths escape, through Delta and then Hudi."""
+    def make(base: str) -> None:
+        mark = F.element_at(F.create_map(*[F.lit(x) for kv in _MARKS.items() for x in kv]), F.col("o_orderstatus"))
+        table(spark, sf_dir, "orders").select("o_orderkey", mark.alias("mark")).write.partitionBy("mark").parquet(base)
+        for config in (SyncConfig("PARQUET", base, ["DELTA"], partition_spec="mark:VALUE"), SyncConfig("DELTA", base, ["HUDI"])):
+            for r in sync(spark, config).values():
+                if r.status != "SUCCESS":
+                    raise RuntimeError(r.error)
+
+    return reader.read(spark, "HUDI", once(spark, ("odd", sf_dir), make)).select("o_orderkey", "mark")
+
+
+@query(f"SELECT * FROM ({PLAIN_SQL}) WHERE o_year = '1995' OR o_year = '1997' AND o_orderstatus = 'O'")
+def e2e_ordinary_partition_filter(spark, sf_dir):
+    """A filter like any other prunes files: the plan has it as PartitionFilters."""
+    return synced_orders(spark, sf_dir, "ICEBERG").filter("o_year = '1995' OR o_year = '1997' AND o_orderstatus = 'O'")
+
+
+def grown(spark: SparkSession, sf_dir: str) -> str:
+    """Orders by status in two writes, each followed by an incremental sync to all formats."""
+    def make(base: str) -> None:
+        o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+        for k in (0, 1):
+            o.filter(F.col("o_orderkey") % 2 == k).write.mode("append").partitionBy("o_orderstatus").parquet(base)
+            for r in sync(spark, SyncConfig("PARQUET", base, ["DELTA", "ICEBERG", "HUDI"], "orders", partition_spec="o_orderstatus:VALUE")).values():
+                if r.status != "SUCCESS" or r.mode != ("INCREMENTAL" if k else "FULL"):
+                    raise RuntimeError(f"{r.format} {r.mode}: {r.error}")
+
+    return once(spark, ("grown", sf_dir), make)
+
+
+_GROWN = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+
+
+def versions_of(fmt: str, source) -> list[str]:
+    return {"DELTA": lambda: list(map(str, source.log.versions())), "ICEBERG": lambda: [str(x["snapshot-id"]) for x in reversed(source.chain())], "HUDI": lambda: [i for i, _ in source.line.completed()]}[fmt]()
+
+
+def _grown_rows(fmt: str) -> None:
+    def whole(spark, sf_dir):
+        return reader.read(spark, fmt, grown(spark, sf_dir))
+
+    def before(spark, sf_dir):
+        base = grown(spark, sf_dir)
+        return reader.read(spark, fmt, base, version=versions_of(fmt, registry.source(fmt, spark, base))[0])
+
+    def as_of(spark, sf_dir):
+        base = grown(spark, sf_dir)
+        source = registry.source(fmt, spark, base)
+        return reader.read(spark, fmt, base, as_of=source.table_at(versions_of(fmt, source)[1]).instant - 1)
+
+    def commit(spark, sf_dir):
+        source = registry.source(fmt, spark, grown(spark, sf_dir))
+        change = source.change(versions_of(fmt, source)[1])
+        return change.added.groupBy(F.col("part")["o_orderstatus"].alias("o_orderstatus")).agg(F.sum("rows").alias("rows"), F.lit(change.removed.count()).alias("removed"))
+
+    def states(spark, sf_dir):
+        base = grown(spark, sf_dir)
+        source = registry.source(fmt, spark, base)
+        first = source.table_at(versions_of(fmt, source)[0]).instant
+        return spark.createDataFrame([(len(source.backlog(0)[0]), len(source.backlog(first)[0]), source.safe_from(first), source.safe_from(0))], "all_commits long, later long, safe boolean, never boolean")
+
+    low = fmt.lower()
+    for f, name, sql in (
+        (whole, f"e2e_incremental_{low}", _GROWN),
+        (before, f"e2e_version_{low}", f"{_GROWN} WHERE o_orderkey % 2 = 0"),
+        (as_of, f"e2e_as_of_{low}", f"{_GROWN} WHERE o_orderkey % 2 = 0"),
+        (commit, f"commit_scan_{low}", "SELECT o_orderstatus, count(*) AS rows, 0 AS removed FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_orderstatus"),
+        (states, f"commit_backlog_{low}", "SELECT CAST(2 AS BIGINT) AS all_commits, CAST(1 AS BIGINT) AS later, true AS safe, false AS never FROM (SELECT count(*) FROM orders)"),
+    ):
+        f.__name__ = name
+        query(sql)(f)
+
+
+for _fmt in ("DELTA", "ICEBERG", "HUDI"):
+    _grown_rows(_fmt)
+
+
+_STEPS = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderstatus <> 'P'"
+
+
+def followed(spark: SparkSession, sf_dir: str) -> str:
+    """A Delta table with a sync to Iceberg and Hudi after each commit: appends, upsert, delete, dropped partition; Hudi archives."""
+    def make(base: str) -> None:
+        t, o = LakeTable(spark, base, "orders", ("o_orderstatus",)), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+        steps = [
+            lambda: t.append(o.filter("o_orderkey % 2 = 0")),
+            lambda: t.append(o.filter("o_orderkey % 2 = 1")),
+            lambda: t.upsert(o.filter("o_orderkey % 10 = 0").withColumn("o_custkey", F.col("o_custkey") + 1_000_000), ["o_orderkey"]),
+            lambda: t.delete(F.col("o_orderkey") % 7 == 0),
+            lambda: t.drop_partition(o_orderstatus="P"),
+        ]
+        for k, step in enumerate(steps):
+            step()
+            for r in sync(spark, SyncConfig("DELTA", base, ["ICEBERG", "HUDI"], "orders", options={"keep": 2, "more": 1})).values():
+                if r.status != "SUCCESS" or r.mode != ("INCREMENTAL" if k else "FULL"):
+                    raise RuntimeError(f"{r.format} {r.mode}: {r.error}")
+
+    return once(spark, ("followed", sf_dir), make)
+
+
+@query(_STEPS)
+def e2e_removals_iceberg(spark, sf_dir):
+    return reader.read(spark, "ICEBERG", followed(spark, sf_dir))
+
+
+@query(_STEPS)
+def e2e_removals_hudi_archived(spark, sf_dir):
+    return reader.read(spark, "HUDI", followed(spark, sf_dir))
+
+
+@query("SELECT 'P' AS o_orderstatus, true AS removed, count(*) AS rows FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 7 <> 0 HAVING count(*) > 0")
+def commit_scan_dropped_partition(spark, sf_dir):
+    """What the last Delta commit removed, by the statistics of the files it removed."""
+    base = followed(spark, sf_dir)
+    source = registry.source("DELTA", spark, base)
+    version = source.log.versions()[-1]
+    gone = source.change(version).removed.select("path")
+    files = source.snapshot(version - 1).files.join(gone, "path", "left_semi")
+    return files.groupBy(F.col("part")["o_orderstatus"].alias("o_orderstatus"), F.lit(True).alias("removed")).agg(F.sum("rows").alias("rows"))
+
+
+@query("SELECT DISTINCT o_orderstatus AS key, 'ADD' AS event FROM orders")
+def catalog_partition_sync(spark, sf_dir):
+    """Partitions of the synced Hudi table as a catalog has them after an incremental sync on top of a full one."""
+    from lakeweave.plans import catalog as C
+
+    base = grown(spark, sf_dir)
+    source, client, name = registry.source("HUDI", spark, base), C.MemoryCatalog(), C.TableName("db", "orders")
+    first = source.line.completed()[0][0]
+    C.sync_table(client, name, source.table_at(first), "HUDI")
+    client.partitions[str(name)] = {"X": f"{base}/o_orderstatus=X"}
+    C.sync_new_partitions(spark, client, name, source, first)
+    rows = [(k, "ADD") for k in client.partitions[str(name)] if k != "X"]
+    return spark.createDataFrame(rows, "key string, event string")
+
+
 # set operations on files
 
 
@@ -347,17 +528,37 @@ def earliest_instant(spark, sf_dir):
     return _targets(spark, sf_dir).select("format", line.earliest(F.col("last"), F.col("pending")).alias("earliest"))
 
 
-@query("SELECT event_id, (epoch_us(ts) // 1000) AS ts FROM events WHERE (epoch_us(ts) // 1000) > 1706000000000 OR event_id IN (3, 5, 8)")
+@query("SELECT event_id, (epoch_us(ts) // 1000) AS ts FROM events WHERE (epoch_us(ts) // 1000) > 1706000000000 OR (epoch_us(ts) // 1000) IN (SELECT epoch_us(ts) // 1000 FROM events WHERE event_id IN (3, 5, 8))")
 def change_applicable(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", I.millis(F.col("ts")).alias("ts"))
-    pending = F.array(*[F.lit(x).cast("long") for x in (3, 5, 8)])
-    return e.filter((F.col("ts") > 1706000000000) | F.array_contains(pending, F.col("event_id")))
+    pending = e.filter(F.col("event_id").isin(3, 5, 8)).agg(F.collect_list("ts").alias("pending"))
+    return e.crossJoin(F.broadcast(pending)).filter(line.applicable(F.col("ts"), F.lit(1706000000000), F.col("pending"))).drop("pending")  # one row
+
 
+@query("SELECT epoch_us(max(ts)) // 1000 AS last FROM events")
+def same_instant(spark, sf_dir):
+    e = table(spark, sf_dir, "events").agg(F.max("ts").alias("last"))
+    return line.same_instant(e.unionByName(e).select(F.col("last").cast("timestamp").alias("last"))).select(F.unix_millis("last").alias("last"))
 
-@query("SELECT n_nationkey, min(epoch_ms(o_orderdate)) <= 800000000000 AS safe FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+
+@query("SELECT 'f' || o_orderkey AS path FROM orders WHERE o_orderpriority = '5-LOW'")
+def data_files_only(spark, sf_dir):
+    f = _files(spark, sf_dir).withColumn("kind", F.when(F.col("o_orderpriority") == "5-LOW", "data").otherwise("deletes"))
+    return ops.data_files(f).select("path")
+
+
+@query("SELECT 'g' || c_custkey AS file_id, '2024010100000000' || (CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END) AS instant FROM customer")
+def hudi_latest_base_files(spark, sf_dir):
+    from lakeweave.sources.hudi import latest_base_files
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("k"))
+    path = F.concat(F.lit("/t/p=1/g"), F.col("c_custkey"), F.lit("_0-1-2_2024010100000000"), F.col("k"), F.lit(".parquet"))
+    return latest_base_files(c.select(F.lit("p=1").alias("partition"), path.alias("path"))).select("file_id", "instant")
+
+
+@query("SELECT min(epoch_ms(o_orderdate)) <= 800000000000 AS safe FROM orders")
 def safe_from_instant(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), I.millis(F.col("o_orderdate")).alias("ts"))
-    return o.groupBy("n_nationkey").agg((F.min("ts") <= 800000000000).alias("safe"))
+    return line.safe_from_earliest(table(spark, sf_dir, "orders").select(I.millis(F.col("o_orderdate")).alias("mtime")), F.lit(800000000000))
 
 
 @query("SELECT min(epoch_ms(o_orderdate)) <= 1000000000000 AS safe FROM orders")
@@ -539,6 +740,31 @@ _NESTED = T.StructType([
 ])
 
 
+_KIND = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' ELSE lower(column_type) END"
+_LINEITEM = f"SELECT column_name AS path, {_KIND} AS kind, row_number() OVER () AS n FROM (DESCRIBE lineitem)"
+
+
+@query(f"SELECT CAST(n - 1 AS INTEGER) AS ordinal, path, n AS field_id FROM ({_LINEITEM}) WHERE kind IN ('bigint', 'int', 'string', 'double')")
+def table_schema_ids(spark, sf_dir):
+    """Ordinals and Iceberg ids of a table's columns, through the format's schema and back."""
+    schema = table(spark, sf_dir, "lineitem").schema
+    iceberg = S.to_iceberg(schema)
+    ids = spark.createDataFrame(list(S.iceberg_ids(iceberg)), "path string, field_id long")
+    rows = spark.createDataFrame([r[:3] for r in S.schema_rows(S.from_iceberg(iceberg))], "ordinal int, path string, type string")
+    return rows.filter(F.col("type").isin("bigint", "int", "string", "double")).join(ids, "path").select("ordinal", "path", "field_id")
+
+
+@query(f"SELECT path, CASE WHEN n % 3 = 0 THEN 'drop' ELSE 'optional' END AS change FROM ({_LINEITEM}) WHERE n % 3 <> 1 UNION ALL SELECT path || '_new', 'add' FROM ({_LINEITEM}) WHERE n % 3 = 0")
+def table_schema_changes(spark, sf_dir):
+    from lakeweave.sources.iceberg import schema_changes
+
+    old = table(spark, sf_dir, "lineitem").schema
+    new = []
+    for n, f in enumerate(old.fields, 1):
+        new.append(T.StructField(f"{f.name}_new", f.dataType) if n % 3 == 0 else T.StructField(f.name, f.dataType, not f.nullable) if n % 3 == 2 else f)
+    return spark.createDataFrame(schema_changes(S.to_iceberg(old), S.to_iceberg(T.StructType(new))), "path string, change string")
+
+
 @query("""SELECT * FROM (VALUES (0, 'id', 'bigint', false), (1, 'tags', 'array', true), (2, 'place', 'struct', true), (3, 'props', 'map', true), (4, 'tags._element', 'string', true),
 (5, 'place.city', 'string', true), (6, 'place.at', 'struct', true), (7, 'props._key', 'string', false), (8, 'props._value', 'int', true), (9, 'place.at.lat', 'double', true)) t(ordinal, path, type, nullable)""")
 def schema_flatten(spark, sf_dir):

@@ -1,6 +1,12 @@
 """Hudi tables, copy-on-write, timeline version 6: commits are JSON, base files are Parquet.
 
 There is no metadata table here; statistics come from footers.
+
+Commits that leave the active timeline are archived: their documents go to
+``.hoodie/archived`` as lines, and what was live after the last of them is written there
+as Parquet. A snapshot is that state and the commits since, so neither a long history
+nor an archived one is replayed. Where a table's history is archived by another writer,
+base files that no active commit names and that are older than the first one are live too.
 """
 
 from __future__ import annotations
@@ -18,13 +24,19 @@ from lakeweave.functions import schema as S
 from lakeweave.functions.partition_spec import PartitionField, hive_path, parse_spec, path_millis, path_values
 from lakeweave.functions.transforms import TIME, millis_string
 
+from lakeweave.operators import timeline
+
 from .footers import file_stats
 from .model import FILES, STATE_KEY, Change, Conflict, PartitionError, ReadError, SchemaError, Snapshot, SyncState, Table
+from .parquet_dir import listing
 from .storage import Storage
 
 HOODIE = ".hoodie"
 WRITES, REPLACES = ("commit", "deltacommit"), ("replacecommit",)
 IGNORED = ("clean", "savepoint", "logcompaction", "indexing", "schemacommit")
+ARCHIVE = f"{HOODIE}/archived"
+#: Active commits that are left when older ones are archived, and how many more start that.
+KEEP, MORE = 20, 10
 EVENTS = "instant string, op string, partition string, file_id string, path string, rows long, size long"
 
 
@@ -83,9 +95,55 @@ class Timeline:
     def detail(self, instant: str, action: str) -> dict:
         return json.loads(self.store.text(f"{HOODIE}/{instant}.{action}") or "{}")
 
-    def events(self, upto: str | None = None, only: str | None = None) -> DataFrame:
+    def archived_state(self, upto: str | None = None) -> tuple[str, str] | None:
+        """The last archived instant whose live files are written, up to ``upto``, and where they are."""
+        found = [m[1] for n in self.store.names(ARCHIVE) if (m := re.fullmatch(r"live_(\d{14,17})\.parquet", n)) and (upto is None or m[1] <= upto)]
+        return (max(found), self.store.uri(f"{ARCHIVE}/live_{max(found)}.parquet")) if found else None
+
+    def foreign_archive(self) -> bool:
+        """Whether history is missing that this engine didn't archive: archived by another writer, or taken away."""
+        if self.archived_state() is not None:
+            return False
+        first = self.properties().get("lakeweave.first.instant")
+        done = self.completed()
+        return bool(self.store.names(ARCHIVE)) or bool(first and done and done[0][0] > first)
+
+    def live(self, upto: str | None = None) -> DataFrame:
+        """partition, file_id, path, rows, size, instant of the live base files."""
+        state = self.archived_state(upto)
+        events = self.events(upto, after=state[0] if state else None)
+        if state is not None:
+            before = self.spark.read.parquet(state[1]).select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", "rows", "size")
+            return live_files(before.unionByName(events))
+        if not self.foreign_archive():
+            return live_files(events)
+        done = [i for i, _ in self.completed() if upto is None or i <= upto]
+        listed = listing(self.spark, self.base)
+        events = events.persist()
+        named = latest_base_files(listed.withColumn("partition", P.partition_path(F.col("path"), P.canonical(F.lit(self.base)))))
+        when = F.coalesce("instant", F.date_format(F.timestamp_millis("mtime"), "yyyyMMddHHmmssSSS"))
+        old = named.withColumn("instant", when).filter(F.col("instant") < (done[0] if done else "9")).join(events.select("path"), "path", "left_anti")
+        old = old.select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", F.lit(None).cast("long").alias("rows"), "size")
+        return live_files(old.unionByName(events))
+
+    def archive(self, keep: int = KEEP, more: int = MORE) -> int:
+        """Takes all but the last ``keep`` commits out of the active timeline, once there are ``more`` than that."""
+        done = self.completed()
+        if len(done) < keep + more:
+            return 0
+        gone, last = done[:-keep], done[-keep - 1][0]
+        self.live(last).repartition(max(1, min(64, len(gone)))).write.mode("overwrite").parquet(self.store.uri(f"{ARCHIVE}/live_{last}.parquet"))
+        lines = [json.dumps({"instant": i, "action": a, "commit": self.detail(i, a)}) for i, a in gone]
+        self.store.write(f"{ARCHIVE}/commits_{gone[0][0]}_{last}.jsonl", "\n".join(lines) + "\n", overwrite=True)
+        for i, a in gone:  # the completed file goes last, so that what is left never looks unfinished
+            for suffix in ("requested", "inflight"):
+                self.store.delete(f"{HOODIE}/{i}.{a}.{suffix}")
+            self.store.delete(f"{HOODIE}/{i}.{a}")
+        return len(gone)
+
+    def events(self, upto: str | None = None, only: str | None = None, after: str | None = None) -> DataFrame:
         """Adds and removes of the commits: a task reads a commit's JSON."""
-        names = [(i, a, self.store.uri(f"{HOODIE}/{i}.{a}")) for i, a in self.completed() if (upto is None or i <= upto) and (only is None or i == only)]
+        names = [(i, a, self.store.uri(f"{HOODIE}/{i}.{a}")) for i, a in self.completed() if (upto is None or i <= upto) and (only is None or i == only) and (after is None or i > after)]
         if not names:
             return self.spark.createDataFrame([], EVENTS)
         base = self.base
@@ -199,40 +257,39 @@ class HudiSource:
 
     def snapshot(self, version=None) -> Snapshot:
         table = self.table_at(version)
-        live = live_files(self.line.events(upto=version))
+        live = self.line.live(version)
         done = [i for i, _ in self.line.completed()]
         open_ = tuple(from_instant(i) for i, a, s in self.line.instants() if s != "completed" and done and i <= done[-1])
         return Snapshot(table, self._files(live, table), open_, table.version)
 
     def change(self, version) -> Change:
         table = self.table_at(version)
-        rows = slice_changes(self.line.events(upto=version), version).persist()
+        before = [i for i, _ in self.line.completed() if i < version]
+        known = self.line.events(only=version)
+        if before:  # what was live before, as adds, and the commit itself
+            known = self.line.live(before[-1]).select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", "rows", "size").unionByName(known)
+        rows = slice_changes(known, version)
         return Change(table, self._files(rows.filter("op = 'add'"), table), self._files(rows.filter("op = 'remove'"), table, False), version)
 
     def backlog(self, since: int, pending=()) -> tuple[list[str], tuple[int, ...]]:
         """Completed after ``since`` or pending before and completed now; what is still pending is carried on."""
-        all_ = [(i, a, s) for i, a, s in self.line.instants() if a not in IGNORED]
-        later = [x for x in all_ if from_instant(x[0]) > since]
-        done = [i for i, _, s in later if s == "completed"]
-        carry = [i for i, _, s in later if s != "completed" and done and i <= done[-1]]
-        was = [x for x in all_ if from_instant(x[0]) in set(pending)]
-        done += [i for i, _, s in was if s == "completed"]
-        carry += [i for i, _, s in was if s != "completed"]
-        return sorted(set(done)), tuple(from_instant(i) for i in sorted(set(carry)))
+        names = {from_instant(i): i for i, a, _ in self.line.instants() if a not in IGNORED}
+        t = self.spark.createDataFrame([(from_instant(i), s, a) for i, a, s in self.line.instants() if a not in IGNORED], "instant long, state string, action string")
+        was = self.spark.createDataFrame([(p,) for p in pending], "instant long")
+        rows = timeline.backlog(t, F.lit(since), was).collect()  # a row for each open commit
+        return sorted(names[r["instant"]] for r in rows if r["role"] == "process"), tuple(sorted(r["instant"] for r in rows if r["role"] == "carry"))
 
     def version_at(self, instant: int) -> str | None:
         return max((i for i, _ in self.line.completed() if from_instant(i) <= instant), default=None)
 
     def safe_from(self, instant: int) -> bool:
-        """A commit at or before ``instant`` exists, and no later clean removed what came after it."""
-        if self.version_at(instant) is None:
-            return False
+        """A commit at or before ``instant`` is active, and no later clean removed what came after it."""
+        rows = []
         for i, a, s in self.line.instants():
-            if a == "clean" and s == "completed":
-                retain = self.line.detail(i, "clean").get("earliestCommitToRetain")
-                if (from_instant(retain) > instant) if retain else from_instant(i) > instant:
-                    return False
-        return True
+            retain = self.line.detail(i, "clean").get("earliestCommitToRetain") if a == "clean" and s == "completed" else None
+            rows.append((from_instant(i), s, a, from_instant(retain) if retain else None))
+        t = self.spark.createDataFrame(rows, "instant long, state string, action string, retain long")
+        return timeline.safe_from_cleaned(t.filter(~F.col("action").isin([x for x in IGNORED if x != "clean"])), F.lit(instant)).first()["safe"]
 
     def identifier(self, version: str) -> str:
         return version
@@ -241,9 +298,9 @@ class HudiSource:
 class HudiTarget:
     format = "HUDI"
 
-    def __init__(self, spark: SparkSession, base: str, name: str = "table", retention_hours: int = 168, **_):
+    def __init__(self, spark: SparkSession, base: str, name: str = "table", retention_hours: int = 168, keep: int = KEEP, more: int = MORE, **_):
         self.spark, self.base, self.name, self.retention_hours = spark, base.rstrip("/"), name, retention_hours
-        self.line = Timeline(spark, base)
+        self.line, self.keep, self.more = Timeline(spark, base), keep, more
 
     def state(self) -> SyncState | None:
         if not self.line.exists():
@@ -253,7 +310,7 @@ class HudiTarget:
                 return SyncState.from_json(text)
         return None
 
-    def _init(self, table: Table) -> None:
+    def _init(self, table: Table, instant: str) -> None:
         """Creates the table; later, keys and partitions must be what they were."""
         spec = ",".join(f"{f.path}:{f.transform}" for f in table.partitions)
         if self.line.exists():
@@ -267,7 +324,7 @@ class HudiTarget:
             "hoodie.table.name": table.name, "hoodie.table.type": "COPY_ON_WRITE", "hoodie.table.version": "6", "hoodie.timeline.layout.version": "1", "hoodie.populate.meta.fields": "false",
             "hoodie.table.base.file.format": "PARQUET", "hoodie.table.partition.fields": ",".join(f.path for f in table.partitions), "hoodie.table.recordkey.fields": ",".join(table.record_keys),
             "hoodie.table.keygenerator.type": key_generator(list(table.partitions), list(table.record_keys)), "hoodie.datasource.write.hive_style_partitioning": "true",
-            "hoodie.table.create.schema": json.dumps(S.to_avro(table.schema)), "lakeweave.partition.spec": spec,
+            "hoodie.table.create.schema": json.dumps(S.to_avro(table.schema)), "lakeweave.partition.spec": spec, "lakeweave.first.instant": instant,
         }
         self.line.store.write(f"{HOODIE}/hoodie.properties", "".join(f"{k}={v}\n" for k, v in props.items()))
 
@@ -277,9 +334,9 @@ class HudiTarget:
         return (hive_path(values) if values else F.lit("")).alias("partition")
 
     def commit(self, table: Table, state: SyncState, added: DataFrame, removed: DataFrame, mode: str) -> str:
-        self._init(table)
-        taken = [i for i, *_ in self.line.instants()]
+        taken = [i for i, *_ in self.line.instants()] if self.line.exists() else []
         instant = to_instant(max(int(time.time() * 1000), from_instant(taken[-1]) + 1 if taken else 0))
+        self._init(table, instant)
         stat = F.struct(P.hudi_file_id(F.col("path")).alias("fileId"), "path", F.lit("null").alias("prevCommit"), F.col("rows").alias("numWrites"), F.col("rows").alias("numInserts"), F.col("size").alias("fileSizeInBytes"), F.col("partition").alias("partitionPath"))
         writes = added.withColumn("partition", self._partition(table)).groupBy("partition").agg(F.collect_list(stat).alias("s"))
         gone = removed.groupBy("partition").agg(F.collect_set("file_id").alias("ids"))
@@ -294,6 +351,7 @@ class HudiTarget:
         except FileExistsError as e:
             raise Conflict(f"instant {instant} was taken by another writer") from e
         self._clean(instant)
+        self.line.archive(self.keep, self.more)
         return instant
 
     def _clean(self, instant: str) -> None:
@@ -305,11 +363,19 @@ class HudiTarget:
         if old and old[-1] not in cleaned:
             retained = [i for i, _ in done if i >= edge]
             at = to_instant(from_instant(instant) + 1000)
-            body = {"startCleanTime": at, "earliestCommitToRetain": retained[0] if retained else "", "cleanedUpTo": old[-1], "totalFilesDeleted": 0}
+            body = {"startCleanTime": at, "earliestCommitToRetain": retained[0] if retained else "", "cleanedUpTo": old[-1], "totalFilesDeleted": 0, "replacedFileIds": self._replaced(old, cleaned)}
             self.line.store.write(f"{HOODIE}/{at}.clean.requested", "{}")
             self.line.store.write(f"{HOODIE}/{at}.clean.inflight", "{}")
             self.line.store.write(f"{HOODIE}/{at}.clean", json.dumps(body))
 
+    def _replaced(self, instants: list[str], cleaned: set) -> dict[str, list[str]]:
+        """Groups that the commits replaced, by partition, but for those that an earlier clean names."""
+        last, out = max((c for c in cleaned if c), default=""), {}
+        for i in (i for i in instants if i > last):
+            for partition, ids in (self.line.detail(i, REPLACES[0]).get("partitionToReplaceFileIds") or {}).items():
+                out.setdefault(partition, []).extend(ids)
+        return out
+
     def retained(self, instant: str) -> int:
         """Completed commits that retention keeps."""
         edge = to_instant(from_instant(instant) - self.retention_hours * 3_600_000)
@@ -318,14 +384,14 @@ class HudiTarget:
     def sync_snapshot(self, table: Table, state: SyncState, files: DataFrame) -> str:
         files = files.persist()
         try:
-            live = live_files(self.line.events()) if self.line.exists() else self.spark.createDataFrame([], "path string, partition string, file_id string")
+            live = self.line.live() if self.line.exists() else self.spark.createDataFrame([], "path string, partition string, file_id string")
             latest = files.select("path")
             return self.commit(table, state, files.join(live.select("path"), "path", "left_anti").select(*[c.split()[0] for c in FILES.split(", ")]), live.join(latest, "path", "left_anti"), "FULL")
         finally:
             files.unpersist()
 
     def sync_change(self, table: Table, state: SyncState, added: DataFrame, removed: DataFrame) -> str:
-        gone = live_files(self.line.events()).join(removed.select("path").distinct(), "path", "left_semi")  # removals needn't name their partition
+        gone = self.line.live().join(removed.select("path").distinct(), "path", "left_semi")  # removals needn't name their partition
         return self.commit(table, state, added, gone, "INCREMENTAL")
 
     def target_version_of(self, source_id: str) -> str | None:

@@ -1,4 +1,4 @@
-"""Iceberg tables (format 2, no row deletes): metadata JSON, manifest lists and manifests.
+"""Iceberg tables (format 2; tables with row deletes are refused): metadata JSON, manifest lists and manifests.
 
 Table metadata is one small file on the driver. Manifests are read by one task each
 and written by the tasks that hold the files, so file lists stay distributed.
@@ -6,7 +6,9 @@ and written by the tasks that hold the files, so file lists stay distributed.
 
 from __future__ import annotations
 
+import gzip
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -151,17 +153,26 @@ class IcebergTable:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base, self.store = spark, base.rstrip("/"), Storage(spark, base)
 
+    def versions(self) -> dict[int, str]:
+        """Metadata files by version: ``vN`` of file systems, ``NNNNN-<uuid>`` of catalogs, plain or gzipped."""
+        found: dict[int, str] = {}
+        for n in self.store.names(META):
+            if m := re.fullmatch(r"(?:v(\d+)|(\d+)-[^/]*?)(?:\.gz\.metadata\.json|\.metadata\.json(?:\.gz)?)", n):
+                found[int(m[1] or m[2])] = n
+        return found
+
     def version(self) -> int:
-        found = [int(n[1:].split(".")[0]) for n in self.store.names(META) if n.startswith("v") and n.endswith(".metadata.json") and n[1:].split(".")[0].isdigit()]
-        return max(found, default=0)
+        return max(self.versions(), default=0)
 
     def exists(self) -> bool:
-        return self.version() > 0
+        return bool(self.versions())
 
     def metadata(self) -> dict:
-        if not self.exists():
+        found = self.versions()
+        if not found:
             raise ReadError(f"{self.base} has no Iceberg metadata")
-        return json.loads(self.store.text(f"{META}/v{self.version()}.metadata.json"))
+        data = self.store.read(f"{META}/{found[max(found)]}")
+        return json.loads(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
 
     def write_metadata(self, meta: dict, version: int) -> None:
         meta["last-updated-ms"] = int(time.time() * 1000)
@@ -177,16 +188,19 @@ class IcebergTable:
             return avro_codec.read_file(f.read())[1]
 
     def entries(self, meta: dict, snapshot: dict, added_by: int | None = None) -> DataFrame:
-        """status, snapshot and the files of a snapshot's manifests; one task reads one manifest."""
+        """The files of a snapshot's manifests with status, snapshot, sequence, manifest and spec; one task reads one manifest."""
         schema = next(s for s in meta["schemas"] if s["schema-id"] == meta["current-schema-id"])
         specs = {s["spec-id"]: s["fields"] for s in meta["partition-specs"]}
         paths = {i: p for p, i in S.iceberg_ids(schema)}
         kinds = {i: (p, t) for p, i, t in primitive_fields(schema)}
-        rows = [(m["manifest_path"], m["partition_spec_id"]) for m in self.manifests(snapshot) if m["content"] == 0 and (added_by is None or m["added_snapshot_id"] == added_by)]
+        listed = self.manifests(snapshot)
+        if any(m["content"] == 1 and m["added_files_count"] + m["existing_files_count"] > 0 for m in listed):
+            raise ReadError(f"{self.base} has deleted rows in delete files, which aren't applied here")
+        rows = [(m["manifest_path"], m["partition_spec_id"], m["sequence_number"], m["added_snapshot_id"]) for m in listed if m["content"] == 0 and (added_by is None or m["added_snapshot_id"] == added_by)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for path, spec_id in zip(*(c.to_pylist() for c in batch.columns)):
+                for path, spec_id, sequence, added in zip(*(c.to_pylist() for c in batch.columns)):
                     store, name = open_uri(path)
                     with store.open_input_file(name) as f:
                         entries = avro_codec.read_file(f.read())[1]
@@ -206,15 +220,16 @@ class IcebergTable:
                         for side, source in (("minValues", low), ("maxValues", high)):
                             stats[side] = nest({kinds[i][0]: B.decode(kinds[i][1], v) for i, v in source.items() if i in kinds})
                         stats["nullCount"] = nest({kinds[i][0]: v for i, v in nulls.items() if i in kinds})
-                        out.append((e["status"], e["snapshot_id"], d["file_path"], d["file_format"].upper(), d["file_size_in_bytes"], d["record_count"], list(part.items()), json.dumps(stats)))
+                        of = lambda key, given: given if e.get(key) is None else e[key]  # noqa: B023, E731  # what an entry leaves out is its manifest's
+                        out.append((e["status"], of("snapshot_id", added), of("sequence_number", sequence), path, spec_id, d["file_path"], d["file_format"].upper(), d["file_size_in_bytes"], d["record_count"], list(part.items()), json.dumps(stats)))
                     if out:
-                        types = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["status", "snapshot", "path", "format", "size", "rows", "part", "stats"])
+                        types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["status", "snapshot", "sequence", "manifest", "spec", "path", "format", "size", "rows", "part", "stats"])
 
-        columns = "status int, snapshot long, path string, format string, size long, rows long, part map<string,string>, stats string"
+        columns = "status int, snapshot long, sequence long, manifest string, spec int, path string, format string, size long, rows long, part map<string,string>, stats string"
         if not rows:
             return self.spark.createDataFrame([], columns)
-        return self.spark.createDataFrame(rows, "path string, spec int").repartition(min(len(rows), 10_000)).mapInArrow(run, columns)
+        return self.spark.createDataFrame(rows, "path string, spec int, sequence long, added long").repartition(min(len(rows), 10_000)).mapInArrow(run, columns)
 
 
 def plain_value(value, kind: str | None) -> str:
@@ -313,7 +328,10 @@ class IcebergTarget:
             self.ice.write_metadata(meta, self.ice.version() + 1)
 
     def _write_manifest(self, files: DataFrame, status: int, meta: dict, schema: dict, spec: dict, snapshot_id: int, sequence: int) -> list[dict]:
-        """Writes files as manifests, one for each task; their manifest-list rows."""
+        """Writes files as manifests, one for each task; their manifest-list rows.
+
+        Existing files keep the snapshot and the sequence that they came with.
+        """
         folder, avro = f"{self.base}/{META}", manifest_schema(spec, schema)
         fields = [(f["name"], f["transform"], next(p for p, i in S.iceberg_ids(schema) if i == f["source-id"]), next((t for _, i, t in primitive_fields(schema) if i == f["source-id"]), "string")) for f in spec["fields"]]
         kinds = {p: (i, t) for p, i, t in primitive_fields(schema)}
@@ -329,7 +347,7 @@ class IcebergTarget:
             return value == "true" if kind == "boolean" else float(value) if kind in ("float", "double") else value
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            entries, rows = [], 0
+            entries, rows, least = [], 0, sequence
             for batch in batches:
                 for r in batch.to_pylist():
                     part = {x["key"]: x["value"] for x in r["part"] or []}
@@ -339,7 +357,9 @@ class IcebergTarget:
                     n = r["rows"] if r["rows"] is not None else stats.get("numRecords", 0)
                     counts = [{"key": kinds[p][0], "value": n} for p in nulls if p in kinds]
                     data = {"content": 0, "file_path": r["path"], "file_format": r["format"], "partition": {name: to_ordinal(t, part.get(p)) if t in ("year", "month", "day", "hour") else cast(part.get(p), kind) for name, t, p, kind in fields}, "record_count": n, "file_size_in_bytes": r["size"] or 0, "value_counts": counts or None, "null_value_counts": [{"key": kinds[p][0], "value": v} for p, v in nulls.items() if p in kinds] or None, "lower_bounds": bounds["lower_bounds"] or None, "upper_bounds": bounds["upper_bounds"] or None}
-                    entries.append({"status": status, "snapshot_id": snapshot_id, "sequence_number": sequence, "file_sequence_number": sequence, "data_file": data})
+                    since = sequence if status == 1 else r["sequence"]
+                    entries.append({"status": status, "snapshot_id": r["snapshot"] if status == 0 else snapshot_id, "sequence_number": since, "file_sequence_number": since, "data_file": data})
+                    least = min(least, since)
                     rows += n
             if entries:
                 data = avro_codec.write_file(avro, entries, info)
@@ -348,13 +368,13 @@ class IcebergTarget:
                 store.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(name) as f:
                     f.write(data)
-                yield pa.RecordBatch.from_pydict({"path": [path], "length": [len(data)], "files": [len(entries)], "rows": [rows]})
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": [len(data)], "files": [len(entries)], "rows": [rows], "least": [least]})
 
-        parts = files.select("path", "format", "size", "rows", F.map_entries("part").alias("part"), "stats")
+        parts = files.select("path", "format", "size", "rows", F.map_entries("part").alias("part"), "stats", *([] if status == 1 else ["snapshot", "sequence"]))
         out = []
-        for r in parts.mapInArrow(run, "path string, length long, files long, rows long").collect():  # a row for each manifest
+        for r in parts.mapInArrow(run, "path string, length long, files long, rows long, least long").collect():  # a row for each manifest
             kind = {1: "added", 2: "deleted", 0: "existing"}[status]
-            row = {"manifest_path": r["path"], "manifest_length": r["length"], "partition_spec_id": spec["spec-id"], "content": 0, "sequence_number": sequence, "min_sequence_number": sequence, "added_snapshot_id": snapshot_id}
+            row = {"manifest_path": r["path"], "manifest_length": r["length"], "partition_spec_id": spec["spec-id"], "content": 0, "sequence_number": sequence, "min_sequence_number": r["least"], "added_snapshot_id": snapshot_id}
             row |= {f"{k}_{n}_count": 0 for k in ("added", "existing", "deleted") for n in ("files", "rows")} | {f"{kind}_files_count": r["files"], f"{kind}_rows_count": r["rows"]}
             out.append(row)
         return out
@@ -385,19 +405,21 @@ class IcebergTarget:
         parent = next((s for s in meta["snapshots"] if s["snapshot-id"] == meta.get("current-snapshot-id")), None)
         sequence = meta["last-sequence-number"] + 1
         snapshot_id = uuid.uuid4().int >> 65
-        listed: list[dict] = []
+        # manifests without a removed file stay as they are; the others are written anew, each spec by itself
+        listed: list[dict] = [] if parent is None else [m for m in self.ice.manifests(parent) if m["added_files_count"] + m["existing_files_count"] > 0]
         if parent is not None and removed is not None:
             gone = removed.select("path").distinct().persist()
-            if gone.limit(1).count():
-                live = self.ice.entries(meta, parent).filter("status <> 2").withColumn("path", P.canonical(F.col("path"))).persist()
-                listed += self._write_manifest(live.join(gone, "path", "left_semi"), 2, meta, schema, default, snapshot_id, sequence)
-                listed += self._write_manifest(live.join(gone, "path", "left_anti"), 0, meta, schema, default, snapshot_id, sequence)
-                live.unpersist()
-            else:
-                listed += [m for m in self.ice.manifests(parent) if m["added_files_count"] + m["existing_files_count"] > 0]
+            live = self.ice.entries(meta, parent).filter("status <> 2").withColumn("path", P.canonical(F.col("path"))).persist()
+            dead = live.join(gone, "path", "left_semi")
+            touched = {r["manifest"]: r["spec"] for r in dead.select("manifest", "spec").distinct().collect()}
+            listed = [m for m in listed if m["manifest_path"] not in touched]
+            for spec_id in sorted(set(touched.values())):
+                own = next(x for x in meta["partition-specs"] if x["spec-id"] == spec_id)
+                rest = live.filter(F.col("manifest").isin([m for m, x in touched.items() if x == spec_id])).join(gone, "path", "left_anti")
+                listed += self._write_manifest(dead.filter(F.col("spec") == spec_id), 2, meta, schema, own, snapshot_id, sequence)
+                listed += self._write_manifest(rest.coalesce(max(1, len(touched))), 0, meta, schema, own, snapshot_id, sequence)
+            live.unpersist()
             gone.unpersist()
-        elif parent is not None:
-            listed += [m for m in self.ice.manifests(parent) if m["added_files_count"] + m["existing_files_count"] > 0]
         listed += self._write_manifest(added, 1, meta, schema, default, snapshot_id, sequence)
         list_name = f"{META}/snap-{snapshot_id}-{uuid.uuid4().hex}.avro"
         self.ice.store.write(list_name, avro_codec.write_file(MANIFEST_LIST, listed))
