@@ -202,7 +202,7 @@ def test_session_catalog(spark, tmp_path):
     t = LakeTable(spark, base)
     t.append(spark.range(4))
     t.delete(F.col("id") == 0)
-    name = C.TableName("lw_db", "t-1")
+    name = C.TableName("lw_db", "t_1")
     for fmt in ("DELTA", "ICEBERG", "HUDI"):
         assert C.sync_table(catalog, name, table(base, "id"), fmt) in ("created", "refreshed")
     catalog.drop(name)
