@@ -18,11 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, for intermediate tables.
 
-    ``spark.checkpoint.dir`` where the session has it; only where it is unset
-    (tests, a single machine) a temporary folder is made and kept in that setting.
+    ``spark.checkpoint.dir`` where the session has it. Where it is unset, a temporary
+    folder is made only if driver and executors are one machine; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lw_shared_dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakeweave-")
         spark._lw_shared_dir = base
     return base.rstrip("/")

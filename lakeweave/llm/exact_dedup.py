@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, join_dealt, materialize, power_of, shuffle_partitions
+from .common import SPACE_RUN, discard, join_dealt, materialize, power_of, shuffle_partitions
 
 KEY = ["digest", "n_bytes", "check_hash"]
 #: Runs at least, so that the tree has several levels on small clusters too.
@@ -95,8 +95,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = materialize(exact_dedup(docs, id_col, text_col, fan_in), "verdict")
     mark = "_lw_stay"
     stay = materialize(verdict.filter("kept").select(F.col("id").alias(mark), F.col("text_sha256").alias("_lw_text")), "stay")
+    repeated = verdict.groupBy("id").count().filter("count > 1").limit(1).count()
+    discard(verdict)
     kept = join_dealt(docs, stay.select(mark), docs[id_col].eqNullSafe(F.col(mark)), "left_semi")
-    if verdict.groupBy("id").count().filter("count > 1").limit(1).count():
+    if repeated:
         # identifiers that several rows have: the text decides which of them stays, and of repeated rows the hash of all columns
         tagged = kept.withColumn("_lw_sha", F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " "), 256))
         tagged = tagged.join(stay, tagged[id_col].eqNullSafe(F.col(mark)) & (F.col("_lw_sha") == F.col("_lw_text")), "left_semi")

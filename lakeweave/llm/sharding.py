@@ -39,7 +39,7 @@ import bisect
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, unit_hash
+from .common import discard, materialize, shuffle_partitions, unit_hash
 
 #: Rows that one task numbers in a shard, on average.
 SLOT_ROWS = 500_000
@@ -154,6 +154,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     rows = materialize(rows.filter("pinned").withColumn("linked", F.lit(False)).unionByName(loose), "linked")
     last = propagate(rows, n_shards, rounds, slack, seed)
     rows = materialize(even_out(last, n_shards, buckets, seed + 100), "even")
+    discard(first, groups, sizes)
     n_buckets = max(4, 4 * shuffle_partitions(spark) // n_shards, count // (n_shards * SLOT_ROWS))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("spread", F.lit(seed + 2)), F.lit(n_buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # n_shards * n_buckets rows, one for SLOT_ROWS documents

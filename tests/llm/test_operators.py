@@ -401,16 +401,21 @@ def slow_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def rule_of_url(url):
+    """host, path, rule and verdict of a URL by the contract's words."""
+    rest = (url or "").partition("://")[2] if "://" in (url or "") else ""
+    cut = min([j for j in (rest.find(c) for c in "/?#") if j >= 0], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = re.split(r"[?#]", rest[cut:])[0]
+    return host, path, *slow_rule(host, path)
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/x?q#f", "https://example.net/fr/", "http://notexample.net", "http://x.example.com/de/1", "http://x.example.com/dex", "http://a.org/fr/2", "ftp://net/", "no scheme", None, "", "http://spam-farm.example.org/en/1", "https://museum.example.org/en/1", "http://é.NET/É", "http://h?a://b/c", "http://" + "a" * 5000 + ".net/"]
     pages = spark.createDataFrame([(k, u, "h", "x") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     got = {r["id"]: r for r in url_filter.judge(pages).collect()}
     for k, u in enumerate(urls):
-        rest = (u or "").partition("://")[2] if "://" in (u or "") else ""
-        cut = min([j for j in (rest.find(c) for c in "/?#") if j >= 0], default=len(rest))
-        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
-        path = re.split(r"[?#]", rest[cut:])[0]
-        rule, verdict = slow_rule(host, path)
+        host, path, rule, verdict = rule_of_url(u)
         assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule)
         assert verdict is None or got[k]["verdict"] == verdict
     assert got[8]["verdict"] == "allow" and got[9]["score"] == 0

@@ -1,6 +1,10 @@
 """The pipeline and the registered queries on the smallest tables."""
 
+import collections
+import hashlib
 import os
+import re
+import zlib
 
 import duckdb
 import pytest
@@ -8,6 +12,8 @@ import pytest
 from lakeweave.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
+from .test_operators import WORD, rule_of_url, make_docs, slow_base, slow_components, water_fill
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
@@ -31,6 +37,127 @@ def test_pipeline_stages(spark):
         assert empty.count() == 0
 
 
+def slow_pipeline(rows):
+    """The deciding stages by brute force, on (doc_id, text, lang, source): what is left after each of the first three."""
+    left = [[r for r in rows if r[1] is not None and any(c.isalpha() for c in r[1])]]
+    best = {}
+    for r in left[0]:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", r[1])
+        if key not in best or (r[0] is None, r[0] or 0) < (best[key][0] is None, best[key][0] or 0):
+            best[key] = r
+    left.append(list(best.values()))
+    component = {i: c for i, _, c in slow_components(left[1])}
+    left.append([r for r in left[1] if str(r[0]) == str(component[str(r[0])])])
+    return left
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as p
+    from lakeweave.llm.common import materialize
+
+    docs, rows = make_docs(spark, 21, 150)
+    docs, rows = docs.filter("doc_id IS NOT NULL"), [r for r in rows if r[0] is not None]
+    want, before = slow_pipeline(rows), docs
+    for (name, stage), left in zip(p.STAGES[:3], want):
+        before = materialize(stage(spark, before, SF), name)
+        assert sorted((r["doc_id"], r["text"]) for r in before.collect()) == sorted((i, t) for i, t, *_ in left), name
+    sizes, longest = collections.Counter(), collections.Counter()
+    for _, t, _, s in want[2]:
+        n = len(WORD.findall(t))
+        sizes[s] += n
+        longest[s] = max(longest[s], n)
+    mixed = materialize(p.mix_sources(spark, before, SF), "mixed")
+    copies = collections.Counter((r["doc_id"], r["source"]) for r in mixed.collect())
+    target, words = water_fill(sizes), {i: len(WORD.findall(t)) for i, t, *_ in want[2]}
+    taken = collections.Counter()
+    for (i, s), n in copies.items():
+        assert i in words and n <= 3
+        taken[s] += n * words[i]
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in target)
+    last = p.encode_pieces(spark, mixed, SF)
+    assert collections.Counter(r["doc_id"] for r in last.collect()) == collections.Counter(r["doc_id"] for r in mixed.collect())
+    assert last.filter("NOT parity OR NOT round_trip").count() == 0
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+
+def test_op1_as_registered(spark, documents):
+    sizes, longest, taken = collections.Counter(), collections.Counter(), collections.Counter()
+    words = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in documents}
+    for r in documents:
+        sizes[r["source"]] += words[r["doc_id"]]
+        longest[r["source"]] = max(longest[r["source"]], words[r["doc_id"]])
+    target, source = water_fill(sizes), {r["doc_id"]: r["source"] for r in documents}
+    got = QUERIES["op1_mix_sources"](spark, SF).collect()
+    assert len(got) == len(documents)
+    for r in got:
+        assert r["size"] == words[r["doc_id"]] and r["source_size"] == sizes[source[r["doc_id"]]] and abs(r["target"] - target[source[r["doc_id"]]]) < 1e-6 and r["taken"] <= 3 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in target)
+
+
+def test_op2_as_registered(spark, documents):
+    got = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, SF).collect()}
+    assert len(got) == len(documents)
+    right = []
+    for r in documents:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= g["score"] <= 1
+        assert (g["lang_pred"] == "und") == (r["text"] is None or not any(c.isalpha() for c in r["text"]))
+        if g["held_out"] and r["lang"] and r["text"]:
+            right.append(g["lang_pred"] == r["lang"])
+    assert sum(right) >= 0.9 * len(right) > 0
+
+
+def test_op3_as_registered(spark, documents):
+    import numpy as np
+    import sentencepiece
+
+    from lakeweave.llm.sentencepiece_codec import DEFAULT_MODEL
+
+    plain = sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL)
+    got = {r["doc_id"]: r for r in QUERIES["op3_sentencepiece"](spark, SF).collect()}
+    for r in documents:
+        ids, g = plain.encode(r["text"] or ""), got[r["doc_id"]]
+        assert g["ids_sha256"] == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() and g["n_tokens"] == len(ids) and g["parity"]
+        assert g["decoded_sha256"] == hashlib.sha256(plain.decode(ids).encode()).hexdigest()
+
+
+def test_op4_as_registered(spark):
+    for r in QUERIES["op4_url_filter"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
+        host, path, rule, verdict = rule_of_url(r["url"])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
+
+
+def test_op8_as_registered(spark, documents):
+    got = {r["doc_id"]: r for r in QUERIES["op8_label_shards"](spark, SF).collect()}
+    loads, slots, homes = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in documents:
+        g, data = got[r["doc_id"]], (r["text"] or "").encode()
+        assert (g["size"], g["text_crc32"], g["law"], g["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        loads[g["shard"]] += g["size"]
+        slots[g["shard"]].append(g["slot"])
+        homes[data].add(g["shard"])
+    unit = sum(loads.values()) // 128
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(loads) <= set(range(16))
+    copies = collections.Counter((r["text"] or "").encode() for r in documents)
+    assert all(len(x) == 1 for t, x in homes.items() if copies[t] * (len(t) + 1) <= unit and copies[t] <= len(documents) // 128)
+
+
+def test_op10_as_registered(spark, documents):
+    got = {r["doc_id"]: r for r in QUERIES["op10_quality_rules"](spark, SF).collect()}
+    for r in documents:
+        g, base = got[r["doc_id"]], slow_base(r["text"])
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == base
+        assert g["base_failed"] == (base[0] < 50 or 100 * base[4] > 50 * base[0]) and not (g["base_failed"] and g["kept"])
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality IS NOT NULL").collect()
+    right = [got[r["doc_id"]]["kept"] == bool(r["quality"]) for r in labels if r["doc_id"] in got and not got[r["doc_id"]]["base_failed"]]
+    assert sum(right) >= 0.8 * len(right)
+
+
 def test_near_copies_that_share_an_identifier(spark):
     import corpus_pipeline as p
 
