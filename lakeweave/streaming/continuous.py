@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeweave.plans.controller import SyncConfig, SyncResult, sync
 from lakeweave.sources import registry
+from lakeweave.sources.storage import Storage
 
 #: Fixed value: seconds between two rounds.
 INTERVAL = 5.0
@@ -35,16 +37,33 @@ def run(spark: SparkSession, configs: Callable[[], list[SyncConfig]], interval:
 
 
 class CommitStream:
-    """The commits of a table in order, from a version on: what has been handled is the offset."""
+    """The commits of a table in order, from a version on.
 
-    def __init__(self, spark: SparkSession, fmt: str, base: str, since: int = 0, **options):
-        self.source, self.since, self.seen = registry.source(fmt, spark, base, **options), since, set()
+    What has been handled is the offset. With ``checkpoint``, a folder, it is kept there: an
+    offset is written when the batch after it is asked for, so a stream that is started again
+    repeats the last batch that wasn't followed by another (at least once).
+    """
+
+    def __init__(self, spark: SparkSession, fmt: str, base: str, since: int = 0, checkpoint: str | None = None, **options):
+        self.source, self.since, self.seen, self.given = registry.source(fmt, spark, base, **options), since, set(), set()
+        self.store = Storage(spark, checkpoint) if checkpoint else None
+        if self.store and self.store.exists("offset.json"):
+            kept = json.loads(self.store.text("offset.json"))
+            self.since, self.seen = kept["since"], set(kept["seen"])
+
+    def _keep(self) -> None:
+        self.seen |= self.given
+        self.given = set()
+        if self.store:
+            self.store.write("offset.json", json.dumps({"since": self.since, "seen": sorted(self.seen)}), overwrite=True)
 
     def poll(self) -> list:
+        """The commits since the last call, which counts as handled by now."""
+        if self.given:
+            self._keep()
         todo, _ = self.source.backlog(self.since)
-        fresh = [v for v in todo if v not in self.seen]
-        self.seen.update(fresh)
-        return [self.source.change(v) for v in fresh]
+        self.given = {v for v in todo if v not in self.seen}
+        return [self.source.change(v) for v in todo if v in self.given]
 
 
 def follow(spark: SparkSession, folder: str, config: SyncConfig, checkpoint: str, schema):

@@ -334,3 +334,18 @@ def test_remote_catalogs(spark, make):
     assert fake.parts[("8",)] == "x" and ("7",) not in fake.parts
     with pytest.raises(CatalogError):
         catalog.change_partitions(name, "DROP", [("bad", None)])
+
+
+def test_commit_stream_keeps_its_offset(spark, tmp_path):
+    from lakeweave.streaming.continuous import CommitStream
+
+    t, mark = LakeTable(spark, f"file:{tmp_path}/t"), f"file:{tmp_path}/mark"
+    stream = lambda: CommitStream(spark, "DELTA", t.base, checkpoint=mark)
+    t.append(spark.range(2))
+    first = stream()
+    assert [c.source_id for c in first.poll()] == ["0"]
+    assert [c.source_id for c in stream().poll()] == ["0"]  # not followed by another call: handed out again
+    t.append(spark.range(2))
+    assert [c.source_id for c in first.poll()] == ["1"]
+    assert [c.source_id for c in stream().poll()] == ["1"]
+    assert first.poll() == [] and stream().poll() == []
