@@ -28,6 +28,12 @@ def diff(latest: DataFrame, previous: DataFrame, key: str = "path") -> DataFrame
     return both.select(F.coalesce("_new", "_old").alias(key), F.when(F.col("_old").isNull(), "add").otherwise("remove").alias("op"))
 
 
+def group_diff(latest: DataFrame, previous: DataFrame, files: str = "files", key: str = "path") -> DataFrame:
+    """The diff of two tables of partition groups, each with an array of files (structs with ``key``)."""
+    each = lambda g: g.select(F.explode(files).alias("_f")).select(F.col("_f")[key].alias(key))
+    return diff(each(latest), each(previous), key)
+
+
 def groups(files: DataFrame, by: list[str | Column], *aggregates: Column) -> DataFrame:
     """Files grouped by their whole partition value."""
     return files.groupBy(*by).agg(*aggregates)

@@ -103,7 +103,8 @@ def sync(spark: SparkSession, config: SyncConfig) -> dict[str, SyncResult]:
         start = min(states[f].last for f in steps)
         pending = sorted({p for f in steps for p in states[f].pending})
         todo, carried = source.backlog(start, pending)
-        done = sync_changes({f: targets[f] for f in steps}, states, (source.change(v) for v in todo), carried)
+        changes = source.all_changes(todo) if hasattr(source, "all_changes") else (source.change(v) for v in todo)
+        done = sync_changes({f: targets[f] for f in steps}, states, changes, carried)
         results |= {f: r[-1] for f, r in done.items()}
         for f in steps:
             results.setdefault(f, SyncResult(f, INCREMENTAL, "SUCCESS", states[f].last))

@@ -16,6 +16,7 @@ from lakeweave import reader
 from lakeweave.functions import instants as I
 from lakeweave.functions import paths as P
 from lakeweave.functions import schema as S
+from lakeweave.functions import stats as ST
 from lakeweave.functions import transforms as X
 from lakeweave.functions.partition_spec import PartitionField, multi_folder_time, parse_spec, path_millis, path_values
 from lakeweave.operators import files as ops
@@ -267,6 +268,24 @@ def e2e_ordinary_partition_filter(spark, sf_dir):
     return synced_orders(spark, sf_dir, "ICEBERG").filter("o_year = '1995' OR o_year = '1997' AND o_orderstatus = 'O'")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority > '3'")
+def e2e_bucket_void_filter(spark, sf_dir):
+    """A table whose spec has a bucket and a voided field: filters on their columns see the rows' own values."""
+    def make(base: str) -> None:
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.parquet(base)
+        sync(spark, SyncConfig("PARQUET", base, ["ICEBERG"], "orders"))
+        ice = registry.source("ICEBERG", spark, base).ice
+        meta = ice.metadata()
+        ids = dict(S.iceberg_ids(meta["schemas"][-1]))
+        fields = [{"name": "o_orderpriority_bucket", "transform": "bucket[4]", "source-id": ids["o_orderpriority"], "field-id": 1000}, {"name": "o_orderstatus", "transform": "void", "source-id": ids["o_orderstatus"], "field-id": 1001}]
+        meta["partition-specs"] = [{"spec-id": 0, "fields": fields}]
+        ice.write_metadata(meta, ice.version() + 1)
+
+    base = once(spark, ("bucket", sf_dir), make)
+    assert [f.transform for f in registry.source("ICEBERG", spark, base).table_at().partitions] == ["BUCKET"]
+    return reader.read(spark, "ICEBERG", base).filter("o_orderstatus = 'F' AND o_orderpriority > '3'").select("o_orderkey")
+
+
 def grown(spark: SparkSession, sf_dir: str) -> str:
     """Orders by status in two writes, each followed by an incremental sync to all formats."""
     def make(base: str) -> None:
@@ -730,6 +749,52 @@ def delta_stats_json(spark, sf_dir):
     )
 
 
+@query("""
+SELECT c AS column_name, low, high, CAST(0 AS BIGINT) AS nulls, n AS rows FROM (SELECT count(*) AS n FROM orders),
+(SELECT 'o_orderkey' AS c, CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high FROM orders
+ UNION ALL SELECT 'o_custkey', CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders
+ UNION ALL SELECT 'o_orderstatus', min(o_orderstatus), max(o_orderstatus) FROM orders)""")
+def file_column_ranges(spark, sf_dir):
+    files = footers.file_stats(_parquet_files(spark, sf_dir).filter(F.col("path").endswith("/orders.parquet")))
+    found = ST.ranges(files, table(spark, sf_dir, "orders").schema)
+    return found.filter(F.col("column").isin("o_orderkey", "o_custkey", "o_orderstatus")).select(F.col("column").alias("column_name"), "low", "high", "nulls", "rows")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS low, max(o_orderkey) AS high, min(o_orderkey) = max(o_orderkey) AS scalar FROM orders GROUP BY o_custkey")
+def range_collapse(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    return o.select("o_custkey", ST.collapsed(F.col("a"), F.col("b")).alias("r")).select("o_custkey", "r.low", "r.high", "r.scalar")
+
+
+@query("""SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS second, epoch_ms(date_trunc('second', ts)) AS back_ms,
+CASE event_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' ELSE CAST(event_id AS VARCHAR) END AS number, CAST(event_id AS DECIMAL(20, 2)) / 100 = event_id / 100 AS kept FROM events""")
+def log_scalars(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", "ts").cast("timestamp").alias("t"))
+    second, number = ST.to_log(F.col("t"), T.TimestampType()), F.when(F.col("event_id") % 4 == 0, "NaN").when(F.col("event_id") % 4 == 1, "Infinity").when(F.col("event_id") % 4 == 2, "-Infinity").otherwise(F.col("event_id").cast("string"))
+    value = ST.from_log(number, T.DoubleType())
+    again = F.when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity").otherwise(value.cast("long").cast("string"))
+    cents = ST.from_log(F.concat(F.floor(F.col("event_id") / 100).cast("string"), F.lit("."), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")), T.DecimalType(20, 2))
+    return e.select("event_id", ST.to_log(F.to_date("t"), T.DateType()).alias("day"), second.alias("second"), F.unix_millis(ST.from_log(second, T.TimestampType())).alias("back_ms"), again.alias("number"), (cents * 100 == F.col("event_id")).alias("kept"))
+
+
+@query("""SELECT event_id, 'LongWrapper' AS long_wrapper, CAST(epoch_us(ts) AS VARCHAR) AS micros, CAST(datediff('day', DATE '1970-01-01', ts) AS VARCHAR) AS days,
+CAST(event_id AS VARCHAR) || '.250000000000000' AS decimal_text, CAST(event_id * 4 + 1 AS BIGINT) AS quarters, true AS back FROM events""")
+def index_scalars(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    price = (F.col("event_id") + F.lit("0.25").cast("decimal(12,2)")).cast("decimal(20,2)")
+    kept = ST.to_index(price, T.DecimalType(20, 2))
+    time = ST.to_index(F.col("t"), T.TimestampType())
+    back = (ST.from_index(time, T.TimestampType()) == F.col("t")) & (ST.from_index(ST.to_index(F.to_date("t"), T.DateType()), T.DateType()) == F.to_date("t"))
+    return e.select("event_id", ST.to_index(F.col("event_id").cast("long"), T.LongType())["wrapper"].alias("long_wrapper"), time["value"].alias("micros"), ST.to_index(F.to_date("t"), T.DateType())["value"].alias("days"), kept["value"].alias("decimal_text"), (ST.from_index(kept, T.DecimalType(20, 2)) * 4).cast("long").alias("quarters"), back.alias("back"))
+
+
+@query("SELECT 'f' || o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'add' ELSE 'remove' END AS op FROM orders WHERE (o_orderkey % 2 = 0) <> (o_orderkey % 3 = 0)")
+def diff_of_groups(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    grouped = lambda rows: ops.groups(rows, ["o_orderpriority"], F.collect_list(F.struct("path")).alias("files"))
+    return ops.group_diff(grouped(f.filter("o_orderkey % 2 = 0")), grouped(f.filter("o_orderkey % 3 = 0")))
+
+
 # schemas
 
 _NESTED = T.StructType([

@@ -96,6 +96,17 @@ class DeltaLog:
             F.col("add.stats").alias("stats"),
         )
 
+    def change_index(self, versions: list[int]) -> DataFrame:
+        """Adds and removes of several commits in one scan; a commit's are those with its version."""
+        lines = self.spark.read.text([self.store.uri(version_name(v)) for v in versions])
+        version = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long")
+        return self.changes(lines.select(version.alias("version"), F.from_json("value", ACTIONS).alias("a")).select("version", "a.*"))
+
+    def file_format(self) -> str:
+        """The format of the table's files, by the first that the log adds; Parquet where it adds none."""
+        first = self.changes(self.actions()).filter("op = 'add'").select("path").first()
+        return "orc" if first and first["path"].endswith(".orc") else "parquet"
+
     def metadata(self, as_of: int | None = None) -> dict:
         row = self.actions(as_of).agg(F.max_by("metaData", F.when(F.col("metaData").isNotNull(), F.col("version"))).alias("m"), F.max_by("protocol", F.when(F.col("protocol").isNotNull(), F.col("version"))).alias("p")).first()
         if row["m"] is None:
@@ -122,6 +133,11 @@ class DeltaLog:
         return lines.select(version.alias("version"), said.alias("ts"), F.unix_millis("_metadata.file_modification_time").alias("at")).groupBy("version").agg(F.coalesce(F.max("ts"), F.max("at")).alias("ts"))
 
 
+def added_format(added: DataFrame) -> str:
+    first = added.select("path").first()
+    return "orc" if first and first["path"].endswith(".orc") else "parquet"
+
+
 def partition_fields(schema_text: str, columns: list[str]) -> list[PartitionField]:
     generated = {f["name"]: f.get("metadata", {}).get(S.GENERATION) for f in json.loads(schema_text)["fields"]}
     return fold_generated([(c, generated.get(c)) for c in columns])
@@ -196,6 +212,19 @@ class DeltaSource:
         rows = timeline.cancel_vectors(self.log.changes(self.log.actions(only=int(version))))
         return Change(table, self._as_files(rows.filter("op = 'add'"), table), self._as_files(rows.filter("op = 'remove'"), table), str(version))
 
+    def all_changes(self, versions: list[str]):
+        """The changes of several commits, in order, from one scan of the log."""
+        if not versions:
+            return
+        index = timeline.cancel_vectors(self.log.change_index([int(v) for v in versions])).persist()
+        try:
+            for v in versions:
+                table = self.table_at(v)
+                rows = index.filter(F.col("version") == int(v))
+                yield Change(table, self._as_files(rows.filter("op = 'add'"), table), self._as_files(rows.filter("op = 'remove'"), table), str(v))
+        finally:
+            index.unpersist()
+
     def backlog(self, since: int, pending=()) -> tuple[list[str], tuple[int, ...]]:
         return [str(r["version"]) for r in timeline.after(self.log.commits(), F.lit(since)).orderBy("version").collect()], ()
 
@@ -267,7 +296,7 @@ class DeltaTarget:
         head = [
             {"commitInfo": {"timestamp": max(now, self.log.timestamp(versions[-1]) + 1 if versions else 0), "operation": mode, "tags": {STATE_KEY: state.to_json()}}},
             {"protocol": {"minReaderVersion": max(1, old["minReaderVersion"] if old else 1), "minWriterVersion": max(4, old["minWriterVersion"] if old else 4)}},
-            {"metaData": {"id": before.get("id") or str(uuid.uuid4()), "name": table.name, "format": {"provider": "parquet", "options": {}}, "schemaString": schema, "partitionColumns": names, "configuration": config, "createdTime": before.get("createdTime") or now}},
+            {"metaData": {"id": before.get("id") or str(uuid.uuid4()), "name": table.name, "format": {"provider": self.log.file_format() if versions else added_format(added), "options": {}}, "schemaString": schema, "partitionColumns": names, "configuration": config, "createdTime": before.get("createdTime") or now}},
         ]
         lines = self.spark.createDataFrame([(1, json.dumps(x)) for x in head], "rank int, value string")
         lines = lines.unionByName(self._removes(removed, now)).unionByName(self._adds(added, table))

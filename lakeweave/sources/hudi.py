@@ -1,6 +1,7 @@
 """Hudi tables, copy-on-write, timeline version 6: commits are JSON, base files are Parquet.
 
-There is no metadata table here; statistics come from footers.
+There is no metadata table here: commits keep the column ranges of the files they add
+(``columnRanges``), and footers say them for files of other writers.
 
 Commits that leave the active timeline are archived: their documents go to
 ``.hoodie/archived`` as lines, and what was live after the last of them is written there
@@ -37,7 +38,7 @@ IGNORED = ("clean", "savepoint", "logcompaction", "indexing", "schemacommit")
 ARCHIVE = f"{HOODIE}/archived"
 #: Active commits that are left when older ones are archived, and how many more start that.
 KEEP, MORE = 20, 10
-EVENTS = "instant string, op string, partition string, file_id string, path string, rows long, size long"
+EVENTS = "instant string, op string, partition string, file_id string, path string, rows long, size long, stats string"
 
 
 def to_instant(millis: int) -> str:
@@ -113,7 +114,7 @@ class Timeline:
         state = self.archived_state(upto)
         events = self.events(upto, after=state[0] if state else None)
         if state is not None:
-            before = self.spark.read.parquet(state[1]).select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", "rows", "size")
+            before = self.spark.read.parquet(state[1]).select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", "rows", "size", "stats")
             return live_files(before.unionByName(events))
         if not self.foreign_archive():
             return live_files(events)
@@ -123,7 +124,7 @@ class Timeline:
         named = latest_base_files(listed.withColumn("partition", P.partition_path(F.col("path"), P.canonical(F.lit(self.base)))))
         when = F.coalesce("instant", F.date_format(F.timestamp_millis("mtime"), "yyyyMMddHHmmssSSS"))
         old = named.withColumn("instant", when).filter(F.col("instant") < (done[0] if done else "9")).join(events.select("path"), "path", "left_anti")
-        old = old.select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", F.lit(None).cast("long").alias("rows"), "size")
+        old = old.select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", F.lit(None).cast("long").alias("rows"), "size", F.lit(None).cast("string").alias("stats"))
         return live_files(old.unionByName(events))
 
     def archive(self, keep: int = KEEP, more: int = MORE) -> int:
@@ -155,17 +156,17 @@ class Timeline:
                     for s in stats:
                         if s.get("path") and ".log." not in s["path"]:
                             path = s["path"] if ":" in s["path"] or s["path"].startswith("/") else f"{base}/{s['path']}"
-                            yield instant, "add", partition, s["fileId"], path, s.get("numWrites"), s.get("fileSizeInBytes")
+                            yield instant, "add", partition, s["fileId"], path, s.get("numWrites"), s.get("fileSizeInBytes"), s.get("columnRanges")
                 for partition, ids in (meta.get("partitionToReplaceFileIds") or {}).items():
                     for i in ids:
-                        yield instant, "replace", partition, i, None, None, None
+                        yield instant, "replace", partition, i, None, None, None, None
             elif action in ("rollback", "restore"):
                 found = [meta] if action == "rollback" else [x for xs in (meta.get("hoodieRestoreMetadata") or {}).values() for x in xs]
                 for m in found:
                     for partition, p in (m.get("partitionMetadata") or {}).items():
                         for path in p.get("successDeleteFiles") or []:
                             if ".log." not in path:
-                                yield instant, "delete", partition, None, path if ":" in path or path.startswith("/") else f"{base}/{path}", None, None
+                                yield instant, "delete", partition, None, path if ":" in path or path.startswith("/") else f"{base}/{path}", None, None, None
             elif action not in IGNORED:
                 raise ReadError(f"Hudi action {action} is not known")
 
@@ -176,7 +177,7 @@ class Timeline:
                 rows = []
                 for r in pdf.itertuples(index=False):
                     rows += rows_of(r.instant, r.action, r.text)
-                yield pd.DataFrame(rows, columns=["instant", "op", "partition", "file_id", "path", "rows", "size"]).astype({"rows": "Int64", "size": "Int64"})
+                yield pd.DataFrame(rows, columns=["instant", "op", "partition", "file_id", "path", "rows", "size", "stats"]).astype({"rows": "Int64", "size": "Int64"})
 
         texts = self.spark.read.text([n for *_, n in names], wholetext=True).select(
             F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).alias("instant"), F.regexp_extract("_metadata.file_name", r"^\d+\.([a-z]+)", 1).alias("action"), F.col("value").alias("text")
@@ -187,8 +188,8 @@ class Timeline:
 def live_files(events: DataFrame) -> DataFrame:
     """The last base file of each group, unless it was replaced or rolled back."""
     dead = events.filter("op = 'delete'").select("path", F.col("instant").alias("_at"))
-    groups = events.filter("op <> 'delete'").groupBy("partition", "file_id").agg(F.max_by(F.struct("op", "path", "rows", "size", "instant"), F.struct("instant", (F.col("op") == "add").cast("int"))).alias("e"))
-    alive = groups.filter("e.op = 'add'").select("partition", "file_id", "e.path", "e.rows", "e.size", "e.instant")
+    groups = events.filter("op <> 'delete'").groupBy("partition", "file_id").agg(F.max_by(F.struct("op", "path", "rows", "size", "instant", "stats"), F.struct("instant", (F.col("op") == "add").cast("int"))).alias("e"))
+    alive = groups.filter("e.op = 'add'").select("partition", "file_id", "e.path", "e.rows", "e.size", "e.instant", "e.stats")
     return alive.join(dead, (alive["path"] == dead["path"]) & (dead["_at"] >= alive["instant"]), "left_anti")
 
 
@@ -208,12 +209,12 @@ def slice_changes(events: DataFrame, instant: str) -> DataFrame:
     upto = events.filter(F.col("instant") <= instant)
     w = Window.partitionBy("partition", "file_id").orderBy(F.desc("instant"))
     adds = upto.filter("op = 'add'").withColumn("k", F.row_number().over(w)).withColumn("newest", F.first("instant").over(w))
-    new = adds.filter((F.col("instant") == instant) & (F.col("k") == 1)).select(F.lit("add").alias("op"), "path", "partition", "rows", "size")
-    old = adds.filter((F.col("k") == 2) & (F.col("newest") == instant)).select(F.lit("remove").alias("op"), "path", "partition", "rows", "size")
+    new = adds.filter((F.col("instant") == instant) & (F.col("k") == 1)).select(F.lit("add").alias("op"), "path", "partition", "rows", "size", "stats")
+    old = adds.filter((F.col("k") == 2) & (F.col("newest") == instant)).select(F.lit("remove").alias("op"), "path", "partition", "rows", "size", "stats")
     replaced = upto.filter((F.col("op") == "replace") & (F.col("instant") == instant)).select("partition", "file_id")
     before = upto.filter((F.col("op") == "add") & (F.col("instant") < instant)).join(replaced, ["partition", "file_id"], "left_semi")
-    gone = before.groupBy("partition", "file_id").agg(F.max_by(F.struct("path", "rows", "size"), "instant").alias("f")).select(F.lit("remove").alias("op"), "f.path", "partition", "f.rows", "f.size")
-    rolled = upto.filter((F.col("op") == "delete") & (F.col("instant") == instant)).select(F.lit("remove").alias("op"), "path", "partition", "rows", "size")
+    gone = before.groupBy("partition", "file_id").agg(F.max_by(F.struct("path", "rows", "size", "stats"), "instant").alias("f")).select(F.lit("remove").alias("op"), "f.path", "partition", "f.rows", "f.size", "f.stats")
+    rolled = upto.filter((F.col("op") == "delete") & (F.col("instant") == instant)).select(F.lit("remove").alias("op"), "path", "partition", "rows", "size", "stats")
     return new.unionByName(old).unionByName(gone).unionByName(rolled).distinct()
 
 
@@ -249,11 +250,12 @@ class HudiSource:
         cells = [path_millis(v, f).cast("string") if f.transform in TIME else v for f, v in zip(fields, path_values(F.col("partition"), fields))] if fields else []
         part = F.create_map(*[x for f, v in zip(fields, cells) for x in (F.lit(f.path), v)]) if fields else F.create_map().cast("map<string,string>")
         kind = F.upper(F.regexp_extract("path", r"\.(\w+)$", 1))
-        out = rows.select("path", kind.alias("format"), "size", "rows", F.lit(table.instant).cast("long").alias("mtime"), part.alias("part"))
+        out = rows.select("path", kind.alias("format"), "size", "rows", F.lit(table.instant).cast("long").alias("mtime"), part.alias("part"), F.col("stats"))
         if not stats:
             return out.withColumn("stats", F.lit(None).cast("string"))
-        found = file_stats(out.select("path").repartition(max(1, min(10_000, self.spark.sparkContext.defaultParallelism * 4)))).withColumnRenamed("rows", "_rows")
-        return out.join(found, "path", "left").select("path", "format", "size", F.coalesce("rows", "_rows").alias("rows"), "mtime", "part", "stats")
+        # what commits say of a file's columns; footers of the files of which they say nothing
+        found = file_stats(out.filter("stats IS NULL").select("path").repartition(max(1, min(10_000, self.spark.sparkContext.defaultParallelism * 4)))).withColumnsRenamed({"rows": "_rows", "stats": "_stats"})
+        return out.join(found, "path", "left").select("path", "format", "size", F.coalesce("rows", "_rows").alias("rows"), "mtime", "part", F.coalesce("stats", "_stats").alias("stats"))
 
     def snapshot(self, version=None) -> Snapshot:
         table = self.table_at(version)
@@ -267,7 +269,7 @@ class HudiSource:
         before = [i for i, _ in self.line.completed() if i < version]
         known = self.line.events(only=version)
         if before:  # what was live before, as adds, and the commit itself
-            known = self.line.live(before[-1]).select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", "rows", "size").unionByName(known)
+            known = self.line.live(before[-1]).select("instant", F.lit("add").alias("op"), "partition", "file_id", "path", "rows", "size", "stats").unionByName(known)
         rows = slice_changes(known, version)
         return Change(table, self._files(rows.filter("op = 'add'"), table), self._files(rows.filter("op = 'remove'"), table, False), version)
 
@@ -337,7 +339,7 @@ class HudiTarget:
         taken = [i for i, *_ in self.line.instants()] if self.line.exists() else []
         instant = to_instant(max(int(time.time() * 1000), from_instant(taken[-1]) + 1 if taken else 0))
         self._init(table, instant)
-        stat = F.struct(P.hudi_file_id(F.col("path")).alias("fileId"), "path", F.lit("null").alias("prevCommit"), F.col("rows").alias("numWrites"), F.col("rows").alias("numInserts"), F.col("size").alias("fileSizeInBytes"), F.col("partition").alias("partitionPath"))
+        stat = F.struct(P.hudi_file_id(F.col("path")).alias("fileId"), "path", F.lit("null").alias("prevCommit"), F.col("rows").alias("numWrites"), F.col("rows").alias("numInserts"), F.col("size").alias("fileSizeInBytes"), F.col("partition").alias("partitionPath"), F.col("stats").alias("columnRanges"))
         writes = added.withColumn("partition", self._partition(table)).groupBy("partition").agg(F.collect_list(stat).alias("s"))
         gone = removed.groupBy("partition").agg(F.collect_set("file_id").alias("ids"))
         # one commit is one JSON document; its size is that of the commit's own file list
