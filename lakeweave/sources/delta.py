@@ -266,7 +266,8 @@ class DeltaTarget:
     def _adds(self, files: DataFrame, table: Table) -> DataFrame:
         rel = P.relative(F.col("path"), P.canonical(F.lit(self.base)))
         inside = F.startswith(P.without_scheme(F.col("path")), P.without_scheme(F.lit(self.base + "/")))
-        add = F.struct(P.percent_encoded(F.when(inside, rel).otherwise(F.col("path"))).alias("path"), part_to_values(F.col("part"), table.partitions).alias("partitionValues"), "size", F.col("mtime").alias("modificationTime"), F.lit(True).alias("dataChange"), "stats")
+        where = P.percent_encoded(F.when(inside, rel).otherwise(F.col("path")))
+        add = F.struct(where.alias("path"), part_to_values(F.col("part"), table.partitions).alias("partitionValues"), "size", F.col("mtime").alias("modificationTime"), F.lit(True).alias("dataChange"), "stats")
         return files.select(F.lit(2).alias("rank"), F.to_json(F.struct(add.alias("add")), {"ignoreNullFields": "false"}).alias("value"))
 
     def _removes(self, files: DataFrame, now: int) -> DataFrame:

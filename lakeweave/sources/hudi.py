@@ -339,7 +339,10 @@ class HudiTarget:
         taken = [i for i, *_ in self.line.instants()] if self.line.exists() else []
         instant = to_instant(max(int(time.time() * 1000), from_instant(taken[-1]) + 1 if taken else 0))
         self._init(table, instant)
-        stat = F.struct(P.hudi_file_id(F.col("path")).alias("fileId"), "path", F.lit("null").alias("prevCommit"), F.col("rows").alias("numWrites"), F.col("rows").alias("numInserts"), F.col("size").alias("fileSizeInBytes"), F.col("partition").alias("partitionPath"), F.col("stats").alias("columnRanges"))
+        stat = F.struct(
+            P.hudi_file_id(F.col("path")).alias("fileId"), "path", F.lit("null").alias("prevCommit"), F.col("rows").alias("numWrites"), F.col("rows").alias("numInserts"),
+            F.col("size").alias("fileSizeInBytes"), F.col("partition").alias("partitionPath"), F.col("stats").alias("columnRanges"),
+        )
         writes = added.withColumn("partition", self._partition(table)).groupBy("partition").agg(F.collect_list(stat).alias("s"))
         gone = removed.groupBy("partition").agg(F.collect_set("file_id").alias("ids"))
         # one commit is one JSON document; its size is that of the commit's own file list

@@ -353,10 +353,17 @@ class IcebergTarget:
                     part = {x["key"]: x["value"] for x in r["part"] or []}
                     stats = json.loads(r["stats"]) if r["stats"] else {}
                     nulls = unnest(stats.get("nullCount", {}))
-                    bounds = {side: [{"key": kinds[p][0], "value": v} for p, x in unnest(stats.get(name, {})).items() if p in kinds and (v := B.encode(kinds[p][1], x)) is not None] for side, name in (("lower_bounds", "minValues"), ("upper_bounds", "maxValues"))}
+                    bounds = {}
+                    for side, name in (("lower_bounds", "minValues"), ("upper_bounds", "maxValues")):
+                        coded = [(kinds[p][0], B.encode(kinds[p][1], x)) for p, x in unnest(stats.get(name, {})).items() if p in kinds]
+                        bounds[side] = [{"key": k, "value": v} for k, v in coded if v is not None]
                     n = r["rows"] if r["rows"] is not None else stats.get("numRecords", 0)
                     counts = [{"key": kinds[p][0], "value": n} for p in nulls if p in kinds]
-                    data = {"content": 0, "file_path": r["path"], "file_format": r["format"], "partition": {name: to_ordinal(t, part.get(p)) if t in ("year", "month", "day", "hour") else cast(part.get(p), kind) for name, t, p, kind in fields}, "record_count": n, "file_size_in_bytes": r["size"] or 0, "value_counts": counts or None, "null_value_counts": [{"key": kinds[p][0], "value": v} for p, v in nulls.items() if p in kinds] or None, "lower_bounds": bounds["lower_bounds"] or None, "upper_bounds": bounds["upper_bounds"] or None}
+                    data = {"content": 0, "file_path": r["path"], "file_format": r["format"], "record_count": n, "file_size_in_bytes": r["size"] or 0}
+                    data["partition"] = {name: to_ordinal(t, part.get(p)) if t in ("year", "month", "day", "hour") else cast(part.get(p), kind) for name, t, p, kind in fields}
+                    data["value_counts"] = counts or None
+                    data["null_value_counts"] = [{"key": kinds[p][0], "value": v} for p, v in nulls.items() if p in kinds] or None
+                    data |= {side: found or None for side, found in bounds.items()}
                     since = sequence if status == 1 else r["sequence"]
                     entries.append({"status": status, "snapshot_id": r["snapshot"] if status == 0 else snapshot_id, "sequence_number": since, "file_sequence_number": since, "data_file": data})
                     least = min(least, since)
