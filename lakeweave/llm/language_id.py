@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import discard, materialize, release
 
 UND = "und"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -155,17 +155,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """
     h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit(seed))
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), h.alias("h"))
-    # which texts are drawn is decided on hashes alone; the rank limit is applied in each partition first
-    light = labelled.groupBy("label", "h").agg(F.max(F.octet_length("text")).alias("n"))
-    languages = light.select("label").distinct().limit(max_languages + 1).count()
-    if languages > max_languages:
+    # which texts are drawn is decided on hashes alone, a row for each different one
+    light = materialize(labelled.groupBy("label", "h").agg(F.max(F.octet_length("text")).alias("n")), "hashes")
+    counts = light.groupBy("label").count().limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} values of {label_col}")
+    # the window needs sample_docs rows a language: thin by hash first, so that what it sorts doesn't grow with the table
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, 4.0 * sample_docs / r["count"])) for r in counts], f"_name {docs.schema[label_col].dataType.simpleString()}, share double")
+    thin = light.join(F.broadcast(shares), F.col("label") == F.col("_name")).filter(F.pmod("h", F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40)))
     by_hash = Window.partitionBy("label").orderBy("h")
-    ranked = light.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs)
+    ranked = thin.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs)
     ranked = ranked.withColumn("bytes", F.sum("n").over(by_hash)).filter((F.col("k") == 1) | (F.col("bytes") <= sample_bytes))
     drawn = ranked.select(F.col("label").alias("_label"), F.col("h").alias("_h"), "k")  # languages * sample_docs rows at most
     found = labelled.join(F.broadcast(drawn), (F.col("label") == F.col("_label")) & (F.col("h") == F.col("_h")))
     rows = found.groupBy("label", "k").agg(F.min("text").alias("text")).select("label", "k", F.col("text").cast("binary").alias("text")).collect()
+    discard(light)
     samples = sorted((r["label"], r["k"], bytes(r["text"])) for r in rows)
     while samples:
         try:
