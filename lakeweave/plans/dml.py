@@ -28,6 +28,7 @@ class LakeTable:
     def __init__(self, spark: SparkSession, base: str, name: str = "table", partition_by: tuple[str, ...] = (), retries: int = 3):
         self.spark, self.base, self.name, self.by, self.retries = spark, base.rstrip("/"), name, tuple(partition_by), retries
         self.target, self.source = DeltaTarget(spark, base, name), DeltaSource(spark, base, name)
+        self.source.log = self.target.log  # both know a version's metadata once one has read it
 
     def _none(self) -> DataFrame:
         return self.spark.createDataFrame([], FILES)

@@ -40,6 +40,7 @@ class DeltaLog:
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base, self.store = spark, base.rstrip("/"), Storage(spark, base)
+        self.known: dict[int, dict] = {}  # metadata by version: what is committed never changes
 
     def versions(self) -> list[int]:
         return sorted(int(n[:20]) for n in self.store.names(LOG) if len(n) == 25 and n.endswith(".json"))
@@ -108,6 +109,14 @@ class DeltaLog:
         return "orc" if first and first["path"].endswith(".orc") else "parquet"
 
     def metadata(self, as_of: int | None = None) -> dict:
+        if as_of is None and not (found := self.versions()):
+            raise ReadError(f"{self.base} has no Delta log")
+        at = found[-1] if as_of is None else as_of
+        if at not in self.known:
+            self.known[at] = self._metadata(at)
+        return dict(self.known[at])
+
+    def _metadata(self, as_of: int) -> dict:
         row = self.actions(as_of).agg(F.max_by("metaData", F.when(F.col("metaData").isNotNull(), F.col("version"))).alias("m"), F.max_by("protocol", F.when(F.col("protocol").isNotNull(), F.col("version"))).alias("p")).first()
         if row["m"] is None:
             raise ReadError(f"{self.base} has no table metadata")
