@@ -48,12 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``materialize`` that nothing reads any more."""
+    """Deletes tables of ``materialize`` that nothing reads any more; they stay where pyarrow has no such file system."""
     from pyarrow import fs
 
     for table in tables:
-        store, path = fs.FileSystem.from_uri(table._lw_path if ":" in table._lw_path else f"file://{table._lw_path}")
-        store.delete_dir(path)
+        try:
+            store, path = fs.FileSystem.from_uri(table._lw_path if ":" in table._lw_path else f"file://{table._lw_path}")
+            store.delete_dir(path)
+        except (OSError, ValueError):
+            pass
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
