@@ -34,13 +34,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakeweave/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that a task writes.
+NARROW_ROWS = 20_000
+
+
+def materialize(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage at a table that any executor can reread, so a lost
     executor costs a reread and never a recomputation of the whole loop.
+    ``most`` bounds the rows of a narrow table: a task writes some NARROW_ROWS of them, so that
+    a small one isn't as many files as a shuffle has partitions.
     """
     path = scratch_path(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(max(8, -(-most // NARROW_ROWS)))
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._lw_path = path

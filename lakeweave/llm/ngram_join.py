@@ -63,6 +63,8 @@ HOT = 16
 SALTS = 16
 #: Bytes of text to a block, some four million entries.
 BLOCK_BYTES = 24_000_000
+#: Bytes of packed entries to a batch.
+BATCH_BYTES = 4 << 20
 #: Entries multiplied at once.
 STEP = 1 << 15
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -135,8 +137,19 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.nulls(size, t) if k not in columns else columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k], t) for k, t in self.types.items()], names=list(self.types))
 
     def entries(self, packed) -> Iterator[pa.RecordBatch]:
-        for part, rows, counts, hashes, extra in packed:
-            yield self.batch(part=[part], kind=[ENTRIES], rows=[rows], counts=[counts], hashes=[hashes], extra=[extra])
+        held, size = [], 0
+        for piece in packed:
+            held.append(piece)
+            size += sum(len(x) for x in piece[1:] if x is not None)
+            if size >= BATCH_BYTES:
+                yield self._entries(held)
+                held, size = [], 0
+        if held:
+            yield self._entries(held)
+
+    def _entries(self, packed: list[tuple]) -> pa.RecordBatch:
+        part, rows, counts, hashes, extra = zip(*packed)
+        return self.batch(part=part, kind=[ENTRIES] * len(part), rows=rows, counts=counts, hashes=hashes, extra=extra)
 
 
 def schema_of(id_type: str) -> str:
@@ -372,7 +385,7 @@ class Tile:
 
 
 def product(tasks: DataFrame, rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) of the tiles in ``tasks``: tile, chunk, side (0: pivot), row, root."""
+    """Links (a, b) of the tiles in ``tasks``: tile, chunk, side (0: pivot), row, root. They are between roots."""
     full = tasks.join(rows.select("row", "n", "entries"), "row")
     dealt = full.repartition(parts, "tile", "chunk").sortWithinPartitions("tile", "chunk", "side").select("tile", "chunk", "side", "row", "n", "root", "entries")
 
@@ -392,13 +405,13 @@ def product(tasks: DataFrame, rows: DataFrame, percent: int, parts: int) -> Data
                     at, pivots, tile = here, [], None
                 for start in range(lo, hi, 256):
                     part = batch.slice(start, min(256, hi - start))
-                    key, n, root = (part.column(c).to_numpy() for c in ("row", "n", "root"))
+                    n, root = (part.column(c).to_numpy() for c in ("n", "root"))
                     sets = sets_of(part)
                     if keys[2, lo] == 0:
-                        pivots += list(zip(key.tolist(), n.tolist(), root.tolist(), (x.copy() for x in sets)))
+                        pivots += list(zip(root.tolist(), n.tolist(), root.tolist(), (x.copy() for x in sets)))
                     elif pivots:
                         tile = tile or Tile(pivots)
-                        a, b = tile.links(key, n, root, sets, percent)
+                        a, b = tile.links(root, n, root, sets, percent)
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         release()
@@ -406,57 +419,63 @@ def product(tasks: DataFrame, rows: DataFrame, percent: int, parts: int) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def tiles(pivots: DataFrame, members: DataFrame, chunk_rows: int) -> DataFrame:
-    """Tasks of ``product`` from (tile, row, root) of pivots and of the rows to compare: rows in even chunks, pivots with each."""
-    chunks = materialize(members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows))).cast("int").alias("chunks")), "chunks")
+def tiles(pivots: DataFrame, members: DataFrame, chunk_rows: int, most: int) -> DataFrame:
+    """Tasks of ``product`` from (tile, row, root) of pivots and of the rows to compare: rows in even chunks, pivots with each; ``most`` bounds the tiles."""
+    chunks = materialize(members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows))).cast("int").alias("chunks")), "chunks", most)
     own = members.join(chunks, "tile").select("tile", F.pmod(F.xxhash64("row", F.lit(5)), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "row", "root")
     each = pivots.join(chunks, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "row", "root")
     return own.unionByName(each)
 
 
-def pivot_links(rows: DataFrame, meets: DataFrame, percent: int, block_rows: int, parts: int) -> DataFrame:
-    """Step 4: links between rows and the pivots of the columns in which they meet."""
+def pivot_links(rows: DataFrame, meets: DataFrame, percent: int, block_rows: int, parts: int, most: tuple[int, int]) -> DataFrame:
+    """Step 4: links between rows and the pivots of the columns in which they meet; ``most``: counts of ``rows`` and ``meets``."""
     best = meets.groupBy("column").agg(F.max(F.struct("weight", "row", "n")).alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     near = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")) & (F.col("row") != F.col("pivot.row"))
-    pairs = materialize(meets.join(best, "column").filter(near).select("row", F.col("pivot.row").alias("pivot")).distinct(), "pairs")
+    pairs = materialize(meets.join(best, "column").filter(near).select("row", F.col("pivot.row").alias("pivot")).distinct(), "pairs", most[1])
     used = pairs.select(F.col("pivot").alias("row")).distinct()
-    weight = materialize(used.join(rows.select("row", "n"), "row"), "pivots")
+    weight = materialize(used.join(rows.select("row", "n"), "row"), "pivots", most[0])
     total = weight.agg(F.count(F.lit(1)), F.sum("n")).first()
     n_tiles = max(parts, 2 * total[0] // block_rows, (total[1] or 0) // 4_000_000)
     tile = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(n_tiles)).alias("tile")
     pivots = weight.select(tile("row"), "row", F.col("row").alias("root"))
     members = pairs.select(tile("pivot"), "row", F.col("row").alias("root")).distinct()
-    links = materialize(product(tiles(pivots, members, block_rows), rows, percent, parts), "links")
+    links = materialize(product(tiles(pivots, members, block_rows, n_tiles), rows, percent, parts), "links")
     discard(pairs, weight)
     return links
 
 
-def rest_links(rows: DataFrame, meets: DataFrame, roots: DataFrame, percent: int, block_rows: int, parts: int) -> DataFrame:
-    """Step 5: links between rows that meet in a column and aren't connected by ``roots``."""
+def rest_links(rows: DataFrame, meets: DataFrame, roots: DataFrame, percent: int, block_rows: int, parts: int, most: tuple[int, int]) -> DataFrame:
+    """Step 5: links between rows that meet in a column and aren't connected by ``roots``; ``most`` as in step 4."""
     known = roots.select(F.col("node").alias("row"), "root")
-    at = materialize(meets.select("column", "row", "n").join(known, "row", "left").withColumn("root", F.coalesce("root", "row")), "meets")
-    open_ = materialize(at.groupBy("column").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("column", "least"), "open")
-    inside = materialize(at.join(open_, "column").select("row", "n", "root", "least"), "inside")
+    at = materialize(meets.select("column", "row", "n").join(known, "row", "left").withColumn("root", F.coalesce("root", "row")), "meets", most[1])
+    open_ = materialize(at.groupBy("column").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("column", "least"), "open", most[1])
+    inside = materialize(at.join(open_, "column").select("row", "n", "root", "least"), "inside", most[1])
     clusters = components(inside.select(F.col("root").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     # classes a factor 100 / percent apart: rows that link are in the same or in adjacent ones
     grade = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    members = materialize(inside.select("row", "n", "root").distinct().join(clusters, "root").withColumn("grade", grade), "members")
+    members = materialize(inside.select("row", "n", "root").distinct().join(clusters, "root").withColumn("grade", grade), "members", most[0])
     largest = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
-    loose = materialize(members.join(largest, "cluster").filter("root <> main").drop("main"), "loose")
-    blocks = materialize(loose.groupBy("cluster", "grade").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / F.lit(float(block_rows))), F.ceil(F.sum("n") / F.lit(4e6))).cast("int").alias("blocks")), "blocks")
+    loose = materialize(members.join(largest, "cluster").filter("root <> main").drop("main"), "loose", most[0])
+    blocks = materialize(loose.groupBy("cluster", "grade").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / F.lit(float(block_rows))), F.ceil(F.sum("n") / F.lit(4e6))).cast("int").alias("blocks")), "blocks", most[0])
     name = lambda block: F.xxhash64("cluster", "grade", block).alias("tile")  # noqa: E731  # tiles that share a name are compared as one
     pivots = loose.join(blocks, ["cluster", "grade"]).select(name(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")), "row", "root")
     reach = members.select("cluster", "row", "root", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"))
     compared = reach.join(blocks, ["cluster", "grade"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    links = materialize(product(tiles(pivots, compared.select(name(F.col("block")), "row", "root"), block_rows), rows, percent, parts), "more_links")
+    links = materialize(product(tiles(pivots, compared.select(name(F.col("block")), "row", "root"), block_rows, most[0]), rows, percent, parts), "more_links")
     discard(at, open_, inside, members, loose, blocks)
     return links
 
 
+def joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (node, root) once the components ``more`` of links between its roots are joined."""
+    moved = roots.join(more.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("root") == F.col("_node"), "left")
+    return moved.select("node", F.coalesce("_root", "root").alias("root")).unionByName(more.join(roots.select("node"), "node", "left_anti"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, block_rows: int = 256) -> DataFrame:
     """Returns id, n_shingles, component_id: one row per row of ``docs``."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(shuffle_partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    size, n_docs = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
+    parts = max(shuffle_partitions(docs.sparkSession), -(-(size or 0) // BLOCK_BYTES))
     blocks = deal(incidence(docs, id_col, text_col, shingle, parts), parts)
     entries = materialize(shared_entries(blocks, parts), "entries")
     texts = entries.filter(F.col("kind") == DOCUMENT).select("id", "row", "n")
@@ -465,19 +484,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = sized.unionByName(texts.filter("row IS NOT NULL").groupBy("row").agg(F.first("n").alias("n")).withColumn("part", owner), allowMissingColumns=True)
     rows = materialize(candidates(deal(sized, parts), parts, percent).withColumn("row", F.monotonically_increasing_id()), "rows")
     meets = materialize(rows.select("row", "n", "weight", F.explode(F.slice("entries", 1, F.col("prefix"))).alias("column")), "prefixes")
-    first = pivot_links(rows, meets, percent, block_rows, parts)
+    most = rows.count(), meets.count()
+    first = pivot_links(rows, meets, percent, block_rows, parts, most)
     roots = components(first)
-    more = rest_links(rows, meets, roots, percent, block_rows, parts)
+    more = rest_links(rows, meets, roots, percent, block_rows, parts, most)
     if more.limit(1).count():
-        roots = components(first.unionByName(more))
+        roots = materialize(joined_roots(roots, components(more)), "all_roots", most[0])
     keyed = texts.filter("row IS NOT NULL")
     least = keyed.groupBy("row").agg(F.min("id").alias("least")).withColumnRenamed("row", "name")
     known = rows.select("name", F.col("row").alias("node")).join(roots, "node").select("name", "root")
-    answer = materialize(known.join(least, "name"), "roots")
+    answer = materialize(known.join(least, "name"), "roots", most[0])
     smallest = answer.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = answer.select("name", "root").join(smallest, "root").select("name", "component_id")
     alone = least.join(known, "name", "left_anti").select("name", F.col("least").alias("component_id"))
-    final = materialize(linked.unionByName(alone), "classes")
+    final = materialize(linked.unionByName(alone), "classes", n_docs)
     discard(rows, meets, first, more, answer)
     out = keyed.join(final, F.col("row") == F.col("name")).select("id", F.col("n").alias("n_shingles"), "component_id")
     none = texts.filter("row IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))

@@ -624,6 +624,60 @@ def test_tile_counts_overlaps():
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
 
 
+def test_ngram_join_writes_small_tables_as_few_files(spark, monkeypatch):
+    """At 64 shuffle partitions a few rows were 64 files, and packed entries a batch for each of 64 parts."""
+    import os
+
+    import pyarrow as pa
+
+    from lakeweave.llm import common
+    from lakeweave.llm import components as parts_of
+
+    pieces = [(k, b"a" * 16, b"\1\0\0\0", b"h" * 8, None) for k in range(64)]
+    batches = list(ngram_join._Out(pa.int64()).entries(iter(pieces)))
+    assert [b.num_rows for b in batches] == [64] and batches[0].column("part").to_pylist() == list(range(64))
+    files = {}
+
+    def counted(df, name, most=None):
+        table = common.materialize(df, name, most)
+        files.setdefault(name, []).append(sum(x.endswith(".parquet") for x in os.listdir(table._lw_path.removeprefix("file://"))))
+        return table
+
+    monkeypatch.setattr(parts_of, "materialize", counted)
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{body} x{k}") for k in range(30)] + [(100 + k, " ".join(f"v{k}_{j}" for j in range(20))) for k in range(30)]
+    rows += [(200 + k, " ".join(f"u{j}" for j in range(9 * k, 9 * k + 90))) for k in range(12)]  # a chain, linked without a hub
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((str(r["id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs, block_rows=3).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == slow_components(rows)
+    narrow = {"edges", "lowest", "step", "roots", "pairs", "pivots", "chunks", "members", "loose", "classes"}
+    assert narrow <= set(files) and max(max(files[name]) for name in narrow) <= 8, files
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_joined_roots(spark, seed):
+    """Components of links between roots join the components before to those of all links."""
+    draw = random.Random(seed)
+    first = [(draw.randrange(60), draw.randrange(60)) for _ in range(25)]
+    first = [(a, b) for a, b in first if a != b]
+    as_frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    before = components(as_frame(first))
+    root = {r["node"]: r["root"] for r in before.collect()}
+    more = [(draw.randrange(70), draw.randrange(70)) for _ in range(20)]
+    between = [(root.get(a, a), root.get(b, b)) for a, b in more]
+    between = [(a, b) for a, b in between if a != b]
+    got = {r["node"]: r["root"] for r in ngram_join.joined_roots(before, components(as_frame(between))).collect()}
+    assert got == {r["node"]: r["root"] for r in components(as_frame(first + between)).collect()}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
