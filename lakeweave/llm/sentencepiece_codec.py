@@ -5,7 +5,9 @@ normaliser (precompiled map, extra spaces, dummy prefix), the metaspace marker,
 piece scores (Unigram models as they are; BPE models as merges ranked by the merged
 piece's score) and byte fallback. If no piece has a marker behind another character,
 no piece can cross a word's start: then the rebuilt tokenizer's pre-tokenizer cuts
-texts at markers, which lets its cache know words; else it works on unsplit texts.
+texts at markers, Unigram models at each word, which lets the library's cache know words,
+BPE models at each RUN_WORDS words, since a slice costs more than the merges of its
+words and runs don't recur (no cache); else it works on unsplit texts.
 
 Whole texts are encoded in multithreaded batches (``threads`` a task), and the emitted
 ids are decoded again, by the bytes of each piece (bytes that are no UTF-8 go to the
@@ -45,6 +47,8 @@ UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded in one call.
 CALL_BYTES = 1 << 20
+#: Words that a BPE model merges at once.
+RUN_WORDS = 32
 #: Token ids decoded in one call.
 CALL_IDS = 1 << 18
 
@@ -125,12 +129,14 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
 
 
 def splitter(spec: Spec):
-    """The pre-tokenizer that cuts at words, or None if a piece can cross a word's start."""
+    """The pre-tokenizer that cuts at words' starts, or None if a piece can cross a word's start."""
     from tokenizers import Regex, pre_tokenizers
 
     pieces = [piece for piece, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED)]
     if not spec.escape or any(MARK in piece.lstrip(MARK) for piece in pieces):
         return None
+    if spec.kind == BPE:
+        return pre_tokenizers.Split(Regex(f"(?:{MARK}+[^{MARK}]*){{1,{RUN_WORDS}}}|[^{MARK}]+"), "isolated")
     if any(piece.startswith(MARK * 2) for piece in pieces):  # runs of markers stay together
         return pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
     return pre_tokenizers.Metaspace(MARK, "never", True)
@@ -148,7 +154,7 @@ def build(spec: Spec):
     unknown = spec.ids(UNKNOWN)[0]
     if spec.kind == BPE:
         vocab = {piece: k for k, (piece, _, _) in enumerate(spec.pieces)}
-        model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+        model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
     elif spec.kind == UNIGRAM:
         # pieces that no text may match get a space in their name: marked texts have none; byte pieces need their names
         known = [(piece if kind in (NORMAL, USER_DEFINED, BYTE) else f" {piece}", score) for piece, score, kind in spec.pieces]

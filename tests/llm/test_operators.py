@@ -387,6 +387,18 @@ def test_sentencepiece_models_of_each_kind(kind, pieces, remove_extra, dummy_pre
     assert own.decode([[5, 250, 3 + 0xC3, 3 + 0xA9, 3 + 0xFF]]) == own.plain.decode([[5, 250, 3 + 0xC3, 3 + 0xA9, 3 + 0xFF]])
 
 
+@pytest.mark.parametrize("pieces", [BPE_PIECES, BPE_PIECES + CROSSING[2:]])
+def test_sentencepiece_merges_runs_of_words(pieces):
+    """A BPE model is given runs of words, and ids don't depend on where they end; before, each word was a slice."""
+    own = sentencepiece_codec.Codec(model_file(2, pieces), 1)
+    size, r = sentencepiece_codec.RUN_WORDS, random.Random(2)
+    texts = [" ".join(r.choice(["the", "", "and", "other", "thing."]) for _ in range(n)) for k in (1, 2, 7) for n in (k * size - 1, k * size, k * size + 1)] + [" " * (3 * size), "a" * 40 * size]
+    slices = [len(own.fast.pre_tokenizer.pre_tokenize_str(x)) for x in own.normalize(texts)]
+    assert max(slices) <= 8
+    ids, same, back = own.encode(texts)
+    assert ids == own.plain.encode(texts) and all(same) and back == own.plain.decode(ids)
+
+
 def test_sentencepiece_parity_is_seen(monkeypatch):
     """A rebuilt tokenizer that differs is reported, and the library's ids are emitted."""
     own = sentencepiece_codec.Codec(model_file(2, BPE_PIECES), 1)
