@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,7 @@ def unit_hash(*cols: Column | str) -> Column:
 def release() -> None:
     """Gives memory that a task has freed back to the system: Python workers live on and serve other stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

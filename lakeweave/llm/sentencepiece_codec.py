@@ -15,7 +15,8 @@ sentencepiece library). Parity with that library is verified on every whole text
 where ids differ, its own are taken and ``parity`` is false.
 
 The file's bytes are broadcast: their size is that of the model, whatever the input.
-A call holds some ``CALL_BYTES`` of text, or one text if it is longer.
+A call holds ``CALL_BYTES`` of text at most, or one text if it is longer; only a call's
+texts leave Arrow at once.
 
 Defined results: null text is empty, and empty text has no tokens; the marker
 character U+2581 in a text decodes to a space, as in SentencePiece, and lone
@@ -35,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: The public vocabulary file of this environment; a parameter everywhere.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text encoded in one call.
-CALL_BYTES = 1 << 20
+#: Bytes of text encoded in one call: the libraries hold some hundred bytes for each of them.
+CALL_BYTES = 1 << 18
+#: Rows encoded in one call.
+CALL_ROWS = 512
 #: Words that a BPE model merges at once.
 RUN_WORDS = 32
 #: Token ids decoded in one call.
@@ -248,17 +252,34 @@ def codec(data: bytes, threads: int) -> Codec:
     return _codecs[key]
 
 
-def calls(texts: list[str | None]) -> Iterator[list[str]]:
-    """Slices of ``texts`` of some CALL_BYTES."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text or "")
-        size += len(part[-1])
-        if size >= CALL_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def calls(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where each call's texts begin, and these: CALL_ROWS texts and CALL_BYTES at most, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CALL_BYTES, "right"))
+        hi = max(lo + 1, min(hi, lo + CALL_ROWS))
+        yield lo, [text or "" for text in texts.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
+def coded(own: Codec, id_: pa.Array, texts: list[str], with_ids: bool) -> pa.RecordBatch:
+    """The result rows of one call."""
+    ids, same, back = own.encode(texts)
+    ids = [np.array(x, np.int32) for x in ids]
+    offsets = np.cumsum([0] + [len(x) for x in ids])
+    columns = {
+        "id": id_,
+        "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids))) if with_ids else None,
+        "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+        "n_byte_tokens": pa.array([int(own.bytes[x].sum()) for x in ids], pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
+        "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in back]),
+        "round_trip": pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)], pa.bool_()),
+        "parity": pa.array(same, pa.bool_()),
+    }
+    columns = {k: v for k, v in columns.items() if v is not None}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 SCHEMA = "ids array<int>, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
@@ -276,25 +297,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, threads)
-        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
-            at = 0
-            for texts in calls(batch.column(1).to_pylist()):
-                ids, same, back = own.encode(texts)
-                ids = [np.array(x, np.int32) for x in ids]
-                offsets = np.cumsum([0] + [len(x) for x in ids])
-                columns = {
-                    "id": batch.column(0).slice(at, len(texts)),
-                    "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids))) if with_ids else None,
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "n_byte_tokens": pa.array([int(own.bytes[x].sum()) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in back]),
-                    "round_trip": pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)], pa.bool_()),
-                    "parity": pa.array(same, pa.bool_()),
-                }
-                columns = {k: v for k, v in columns.items() if v is not None}
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release()  # what building it, or another stage in this worker, has left
+        for batch in batches:
+            for at, texts in calls(batch.column(1)):
+                yield coded(own, batch.column(0).slice(at, len(texts)), texts, with_ids)
+            batch = texts = None  # before the next one is read
         release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
