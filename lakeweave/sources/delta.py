@@ -311,7 +311,8 @@ class DeltaTarget:
         lines = self.spark.createDataFrame([(1, json.dumps(x)) for x in head], "rank int, value string")
         lines = lines.unionByName(self._removes(removed, now)).unionByName(self._adds(added, table))
         try:
-            self.log.store.write_lines(version_name(version), lines.coalesce(1).sortWithinPartitions("rank").select("value"))
+            # shuffled, not coalesced: else one task would read, join and map all parts of the file lists
+            self.log.store.write_lines(version_name(version), lines.repartition(1).sortWithinPartitions("rank").select("value"))
         except FileExistsError as e:
             raise Conflict(f"version {version} was committed by another writer") from e
         if self.checkpoint_every and version and version % self.checkpoint_every == 0:

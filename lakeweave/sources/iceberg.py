@@ -424,7 +424,7 @@ class IcebergTarget:
                 own = next(x for x in meta["partition-specs"] if x["spec-id"] == spec_id)
                 rest = live.filter(F.col("manifest").isin([m for m, x in touched.items() if x == spec_id])).join(gone, "path", "left_anti")
                 listed += self._write_manifest(dead.filter(F.col("spec") == spec_id), 2, meta, schema, own, snapshot_id, sequence)
-                listed += self._write_manifest(rest.coalesce(max(1, len(touched))), 0, meta, schema, own, snapshot_id, sequence)
+                listed += self._write_manifest(rest.repartition(max(1, len(touched))), 0, meta, schema, own, snapshot_id, sequence)
             live.unpersist()
             gone.unpersist()
         listed += self._write_manifest(added, 1, meta, schema, default, snapshot_id, sequence)

@@ -107,7 +107,10 @@ class Storage:
             raise
 
     def write_lines(self, name: str, lines: DataFrame) -> None:
-        """One text file from a DataFrame of one string column, written by a task, put in place if absent."""
+        """One text file from a DataFrame of one string column, written by a task, put in place if absent.
+
+        Give lines in one partition: whatever others hold would be worked out in that task.
+        """
         folder = f"{name}.{uuid.uuid4().hex}.tmp"
         lines.coalesce(1).write.text(self.uri(folder))
         part = next(n for n in self.names(folder) if n.startswith("part-"))
