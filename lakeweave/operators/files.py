@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def kept(files: DataFrame, key: str = "path") -> DataFrame:
+    """A file list to read several times: persisted in as many parts as there are cores, however many its query's shuffles have."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, key).persist()
+
+
 def unique(files: DataFrame, key: str = "path") -> DataFrame:
     """Raises (when it runs) if a path occurs twice."""
     counted = files.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave.functions.partition_spec import PartitionField
+from lakeweave.operators import files as ops
 from lakeweave.reader import read_files, skip
 from lakeweave.sources.delta import DeltaSource, DeltaTarget
 from lakeweave.sources.model import FILES, Conflict, SchemaError, SyncState, Table
@@ -80,7 +81,7 @@ class LakeTable:
     def _rewrite(self, version: int, touched: DataFrame, keep, what: str, more: DataFrame | None = None) -> int:
         """Replaces the touched files by what ``keep`` leaves of their rows, and ``more``."""
         table = self.source.table_at(version)
-        touched = touched.persist()
+        touched = ops.kept(touched)
         rest = keep(read_files(self.spark, table, touched))
         rest = rest if more is None else rest.unionByName(more.select(*table.schema.names))
         try:

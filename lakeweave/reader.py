@@ -101,7 +101,7 @@ def read_files(spark: SparkSession, table, files: DataFrame, with_path: bool = F
     physical = _physical(table.schema)
     plain = [(p.name, f) for f in table.partitions if f.transform not in TIME and f.transform != "BUCKET" for p, x in zip(physical.fields, table.schema.fields) if x.name == f.path]
     rows = layout(files, table.base, [n for n, _ in plain], [F.col("part")[f.path] for _, f in plain]) if plain else files.select("path", "format", F.lit(None).cast("string").alias("root"), F.array().cast("array<string>").alias("cells"))
-    listed = [(r["path"], r["format"], r["root"], tuple(r["cells"])) for r in rows.toLocalIterator()]  # the scan's own file list
+    listed = [(r["path"], r["format"], r["root"], tuple(r["cells"])) for r in rows.collect()]  # the scan's own file list, in one job
     roots = {(k, root) for _, k, root, _ in listed if root is not None}
     native = roots if len(roots) <= ROOTS else set()
     kinds = {"PARQUET": "parquet", "ORC": "orc"}

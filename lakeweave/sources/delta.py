@@ -225,7 +225,7 @@ class DeltaSource:
         """The changes of several commits, in order, from one scan of the log."""
         if not versions:
             return
-        index = timeline.cancel_vectors(self.log.change_index([int(v) for v in versions])).persist()
+        index = ops.kept(timeline.cancel_vectors(self.log.change_index([int(v) for v in versions])))
         try:
             for v in versions:
                 table = self.table_at(v)
@@ -320,13 +320,13 @@ class DeltaTarget:
         return version
 
     def sync_snapshot(self, table: Table, state: SyncState, files: DataFrame) -> int:
-        files = files.persist()
+        files = ops.kept(files)
         try:
             if self.exists():
                 read = self.log.versions()[-1]
-                live = self.live().persist()
+                live = ops.kept(self.live())
                 try:
-                    found = ops.diff(files, live).persist()
+                    found = ops.kept(ops.diff(files, live))
                     return self.commit(table, state, files.join(found.filter("op = 'add'"), "path", "left_semi"), found.filter("op = 'remove'").select("path"), "FULL", read)
                 finally:
                     live.unpersist()

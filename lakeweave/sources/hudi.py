@@ -25,6 +25,7 @@ from lakeweave.functions import schema as S
 from lakeweave.functions.partition_spec import PartitionField, hive_path, parse_spec, path_millis, path_values
 from lakeweave.functions.transforms import TIME, millis_string
 
+from lakeweave.operators import files as ops
 from lakeweave.operators import timeline
 
 from .footers import file_stats
@@ -346,8 +347,8 @@ class HudiTarget:
         writes = added.withColumn("partition", self._partition(table)).groupBy("partition").agg(F.collect_list(stat).alias("s"))
         gone = removed.groupBy("partition").agg(F.collect_set("file_id").alias("ids"))
         # one commit is one JSON document; its size is that of the commit's own file list
-        w = {r["partition"]: json.loads(r["s"]) for r in writes.select("partition", F.to_json("s").alias("s")).toLocalIterator()}
-        g = {r["partition"]: list(r["ids"]) for r in gone.toLocalIterator()}
+        w = {r["partition"]: json.loads(r["s"]) for r in writes.select("partition", F.to_json("s").alias("s")).collect()}
+        g = {r["partition"]: list(r["ids"]) for r in gone.collect()}
         body = {"partitionToWriteStats": w, "partitionToReplaceFileIds": g, "compacted": False, "operationType": "INSERT_OVERWRITE", "extraMetadata": {"schema": json.dumps(S.to_avro(table.schema)), STATE_KEY: state.to_json(), "mode": mode}}
         try:
             self.line.store.write(f"{HOODIE}/{instant}.replacecommit.requested", "{}")
@@ -387,7 +388,7 @@ class HudiTarget:
         return sum(i >= edge for i, _ in self.line.completed())
 
     def sync_snapshot(self, table: Table, state: SyncState, files: DataFrame) -> str:
-        files = files.persist()
+        files = ops.kept(files)
         try:
             live = self.line.live() if self.line.exists() else self.spark.createDataFrame([], "path string, partition string, file_id string")
             latest = files.select("path")

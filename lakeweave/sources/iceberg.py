@@ -31,6 +31,8 @@ from .model import FILES, STATE_KEY, Change, Conflict, ReadError, Snapshot, Sync
 from .storage import Storage, open_uri
 
 META = "metadata"
+#: Added files that one manifest holds; a task writes it, and a task reads it.
+MANIFEST_FILES = 5_000
 _UNIT = {"year": "YEAR", "month": "MONTH", "day": "DAY", "hour": "HOUR", "identity": "VALUE"}
 _KV = lambda v, a, b: {"type": "array", "items": {"type": "record", "name": f"k{a}_v{b}", "fields": [{"name": "key", "type": "int", "field-id": a}, {"name": "value", "type": v, "field-id": b}]}, "logicalType": "map"}
 
@@ -415,19 +417,23 @@ class IcebergTarget:
         # manifests without a removed file stay as they are; the others are written anew, each spec by itself
         listed: list[dict] = [] if parent is None else [m for m in self.ice.manifests(parent) if m["added_files_count"] + m["existing_files_count"] > 0]
         if parent is not None and removed is not None:
-            gone = removed.select("path").distinct().persist()
-            live = self.ice.entries(meta, parent).filter("status <> 2").withColumn("path", P.canonical(F.col("path"))).persist()
+            gone = ops.kept(removed.select("path").distinct())
+            live = self.ice.entries(meta, parent).filter("status <> 2").withColumn("path", P.canonical(F.col("path")))
+            live = ops.kept(live)
             dead = live.join(gone, "path", "left_semi")
             touched = {r["manifest"]: r["spec"] for r in dead.select("manifest", "spec").distinct().collect()}
             listed = [m for m in listed if m["manifest_path"] not in touched]
             for spec_id in sorted(set(touched.values())):
                 own = next(x for x in meta["partition-specs"] if x["spec-id"] == spec_id)
                 rest = live.filter(F.col("manifest").isin([m for m, x in touched.items() if x == spec_id])).join(gone, "path", "left_anti")
-                listed += self._write_manifest(dead.filter(F.col("spec") == spec_id), 2, meta, schema, own, snapshot_id, sequence)
-                listed += self._write_manifest(rest.repartition(max(1, len(touched))), 0, meta, schema, own, snapshot_id, sequence)
+                listed += self._write_manifest(dead.filter(F.col("spec") == spec_id).repartition(max(1, len(touched)), "path"), 2, meta, schema, own, snapshot_id, sequence)
+                listed += self._write_manifest(rest.repartition(max(1, len(touched)), "path"), 0, meta, schema, own, snapshot_id, sequence)
             live.unpersist()
             gone.unpersist()
-        listed += self._write_manifest(added, 1, meta, schema, default, snapshot_id, sequence)
+        added = ops.kept(added)
+        if n := added.count():  # not a manifest for each part that the list came in
+            listed += self._write_manifest(added.repartition(-(-n // MANIFEST_FILES), "path"), 1, meta, schema, default, snapshot_id, sequence)
+        added.unpersist()
         list_name = f"{META}/snap-{snapshot_id}-{uuid.uuid4().hex}.avro"
         self.ice.store.write(list_name, avro_codec.write_file(MANIFEST_LIST, listed))
         stamp = max(now, parent["timestamp-ms"] + 1 if parent else 0)

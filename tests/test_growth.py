@@ -4,7 +4,12 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeweave import reader
+from lakeweave.plans.controller import SyncConfig, sync
+from lakeweave.plans.dml import LakeTable
+from lakeweave.reader import read_files
 from lakeweave.sources.delta import DeltaTarget
+from lakeweave.sources.iceberg import IcebergTable
 from lakeweave.sources.model import FILES, SyncState, Table
 
 
@@ -25,3 +30,30 @@ def test_a_commit_works_out_its_files_in_their_own_tasks(spark, tmp_path):
     assert sorted(n for _, n in names) == [f"{n}.parquet" for n in range(6)] and len({task for task, _ in names}) == 6
     kinds = [line[2 : line.index('"', 2)] for line in (tmp_path / "t/_delta_log/00000000000000000000.json").read_text().splitlines()]
     assert sorted(kinds[:3]) == ["commitInfo", "metaData", "protocol"] and kinds[3:] == ["add"] * 6
+
+
+def jobs(spark, group, act):
+    """How many jobs ``act`` starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        act()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_scan_lists_its_files_in_one_job(spark, tmp_path):
+    t = LakeTable(spark, f"file:{tmp_path}/t")
+    t.append(spark.range(40))
+    files = t.source.snapshot().files.repartition(40).persist()
+    assert jobs(spark, "listing", lambda: read_files(spark, t.source.table_at(), files)) < 10
+    files.unpersist()
+
+
+def test_manifests_hold_what_many_tasks_added(spark, tmp_path):
+    base = f"file:{tmp_path}/t"
+    spark.range(0, 12, 1, 12).write.parquet(base)
+    assert all(r.status == "SUCCESS" for r in sync(spark, SyncConfig("PARQUET", base, ["ICEBERG"])).values())
+    ice = IcebergTable(spark, base)
+    assert [m["added_files_count"] for m in ice.manifests(ice.metadata()["snapshots"][-1])] == [12]
+    assert sorted(r["id"] for r in reader.read(spark, "ICEBERG", base).collect()) == list(range(12))
