@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lakeweave.functions.partition_spec import PartitionField
 from lakeweave.operators import files as ops
-from lakeweave.reader import read_files, skip
+from lakeweave.reader import file_path, read_files, skip
 from lakeweave.sources.delta import DeltaSource, DeltaTarget
 from lakeweave.sources.model import FILES, Conflict, SchemaError, SyncState, Table
 from lakeweave.sources.parquet_dir import ParquetSource, listing
@@ -90,11 +90,17 @@ class LakeTable:
             touched.unpersist()
 
     def _hit(self, version: int, condition, files: DataFrame | None = None) -> DataFrame:
-        """Files with a row that ``condition`` picks: one scan, a row a file."""
+        """Files with a row that ``condition`` picks: one scan, a row a file.
+
+        Rows carry a hash of their file's path, and paths are looked up by it: two files
+        of one hash would both be written anew, with the same rows.
+        """
         table = self.source.table_at(version)
         files = self.source.snapshot(version).files if files is None else files
         rows = read_files(self.spark, table, files, with_path=True)
-        return files.join(condition(rows).select(F.col("_lw_file").alias("path")).distinct(), "path", "left_semi")
+        hit = condition(rows.withColumn("_lw_from", F.xxhash64("_lw_from"))).select(F.col("_lw_from").alias("_lw_hash")).distinct()
+        named = rows.select("_lw_from").distinct().join(hit, F.xxhash64("_lw_from") == F.col("_lw_hash"), "left_semi")
+        return files.join(named.select(file_path(F.col("_lw_from")).alias("path")), "path", "left_semi")
 
     def delete(self, condition: Column) -> int:
         return self._again(lambda v: self._rewrite(v, self._hit(v, lambda rows: rows.filter(condition)), lambda rows: rows.filter(~F.coalesce(condition, F.lit(False))), "DELETE"))

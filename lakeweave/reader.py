@@ -78,6 +78,11 @@ def plain_path(path: str) -> str:
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
 
 
+def file_path(spelled: Column) -> Column:
+    """The canonical path of a file as ``_metadata.file_path`` spells it; dear, so better once a file than once a row."""
+    return P.canonical(P.percent_decoded(spelled))
+
+
 def layout(files: DataFrame, base: str, names: list[str], values: list[Column]) -> DataFrame:
     """path, format, root, cells: ``root`` is where ``name=value`` folders begin that say just the partition values, else null."""
     folder = P.partition_path(F.col("path"), P.canonical(F.lit(base)))
@@ -92,7 +97,7 @@ def layout(files: DataFrame, base: str, names: list[str], values: list[Column])
 
 
 def read_files(spark: SparkSession, table, files: DataFrame, with_path: bool = False) -> DataFrame:
-    """The rows of a table's files; with ``with_path`` also ``_lw_file``, the canonical path of a row's file.
+    """The rows of a table's files; with ``with_path`` also ``_lw_from``, the path of a row's file as Spark spells it (see ``file_path``).
 
     Where folders say the partition values, they are Spark's own partition columns, so that
     ordinary filters prune files. Else they come from a broadcast table of folders, SCAN_KEYS
@@ -105,7 +110,7 @@ def read_files(spark: SparkSession, table, files: DataFrame, with_path: bool = F
     roots = {(k, root) for _, k, root, _ in listed if root is not None}
     native = roots if len(roots) <= ROOTS else set()
     kinds = {"PARQUET": "parquet", "ORC": "orc"}
-    here = P.canonical(P.percent_decoded(F.col("_metadata.file_path")))
+    here = file_path(F.col("_metadata.file_path"))
     scans = []
 
     def scan(fmt: str, paths: list[str], root: str | None = None) -> DataFrame:
@@ -115,7 +120,8 @@ def read_files(spark: SparkSession, table, files: DataFrame, with_path: bool = F
         if root is not None:
             reader = reader.option("basePath", plain_path(f"{table.base}/{root}".rstrip("/")))
         found = reader.load([plain_path(p) for p in paths])
-        return found.withColumn("_lw_file", here) if with_path or plain and root is None else found
+        found = found.withColumn("_lw_file", here) if plain and root is None else found
+        return found.withColumn("_lw_from", F.col("_metadata.file_path")) if with_path else found
 
     for fmt, root in sorted(native):
         scans.append(scan(fmt, [p for p, k, at, _ in listed if (k, at) == (fmt, root)], root))
@@ -139,10 +145,10 @@ def read_files(spark: SparkSession, table, files: DataFrame, with_path: bool = F
                 for k, (name, f) in enumerate(plain):
                     found = found.withColumn(name, F.coalesce(F.col(name), F.col(f"_lw_{k}").cast(table.schema[f.path].dataType)))
             scans.append(found)
-    more = ["_lw_file"] if with_path else []
+    more = ["_lw_from"] if with_path else []
     if not scans:
         empty = spark.createDataFrame([], table.schema)
-        return empty.withColumn("_lw_file", F.lit(None).cast("string")) if with_path else empty
+        return empty.withColumn("_lw_from", F.lit(None).cast("string")) if with_path else empty
     columns = [F.col(p.name).cast(f.dataType).alias(f.name) for p, f in zip(physical.fields, table.schema.fields)]
     out = scans[0].select(*columns, *more)
     for found in scans[1:]:

@@ -57,3 +57,18 @@ def test_manifests_hold_what_many_tasks_added(spark, tmp_path):
     ice = IcebergTable(spark, base)
     assert [m["added_files_count"] for m in ice.manifests(ice.metadata()["snapshots"][-1])] == [12]
     assert sorted(r["id"] for r in reader.read(spark, "ICEBERG", base).collect()) == list(range(12))
+
+
+def test_rows_that_look_for_their_files_carry_no_path(spark, tmp_path):
+    t = LakeTable(spark, f"file:{tmp_path}/a b%20c", partition_by=("p",))
+    t.append(spark.range(40).selectExpr("id", "concat('x y', id % 2) AS p"))
+    kinds = []
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        hit = t._hit(0, lambda rows: (kinds.append(rows.schema["_lw_from"].dataType), rows.filter("id % 4 = 1"))[1])
+        assert kinds == [T.LongType()] and {r["part"]["p"] for r in hit.collect()} == {"x y1"}
+        assert jobs(spark, "delete", lambda: t.delete(F.col("id") % 4 == 1)) < 40
+        t.upsert(spark.createDataFrame([(2, "x y0"), (50, "x y1")], "id long, p string"), ["id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(r["id"] for r in t.read().collect()) == sorted([n for n in range(40) if n % 4 != 1] + [50])
